@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import simhash, toxicity
+from . import linededup, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_simhash": simhash.op3_simhash,
+    "op7_linededup": linededup.op7_linededup,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op7_linededup": linededup.OP7_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
