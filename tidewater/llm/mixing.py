@@ -104,9 +104,9 @@ WITH sized AS (
 ), stopped AS (SELECT *, sum(source_size) OVER ()::BIGINT AS budget,
     coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below,
     sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS above,
-    row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS at FROM weighed
+    row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS nth FROM weighed
 ), levels AS (SELECT *, (budget - below)::DOUBLE / above AS level FROM stopped
-), goal AS (SELECT sid, source_size, least(cap::DOUBLE, (SELECT level FROM levels WHERE level <= cap::DOUBLE / weight ORDER BY at LIMIT 1) * weight) AS target FROM levels
+), goal AS (SELECT sid, source_size, least(cap::DOUBLE, (SELECT level FROM levels WHERE level <= cap::DOUBLE / weight ORDER BY nth LIMIT 1) * weight) AS target FROM levels
 ), queued AS (SELECT *, sum(size) OVER (PARTITION BY sid ORDER BY turn, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS reach FROM sized JOIN goal USING (sid)
 ), t0 AS (SELECT *, {' + '.join(f'CASE WHEN (reach + {e} * source_size)::DOUBLE <= target THEN 1 ELSE 0 END' for e in range(ROUNDS))} AS times FROM queued)
 {''.join(_sql_fill(n + 1) for n in range(FILLS))}

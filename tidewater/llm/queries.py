@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, simhash, toxicity
+from . import linededup, mixing, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_simhash": simhash.op3_simhash,
     "op7_linededup": linededup.op7_linededup,
+    "op8_warc": warc.op8_warc,
+    "op9_sharding": sharding.op9_sharding,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES: dict[str, str] = {
