@@ -22,6 +22,8 @@ WEIGHTS = 3
 #: Hex digits of the shuffling hash that name a bucket: 4096 buckets for each source.
 DIGITS = 3
 FILLS = 2
+#: Sources up to which the table of sources is broadcast, and salts of the join beyond.
+BROADCAST_SOURCES, SALTS = 20_000, 64
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -51,11 +53,21 @@ def _running(rows: DataFrame, amount: str, name: str) -> DataFrame:
     """rows with name: the sum of amount over the source's queue up to and with the row."""
     parts = rows.groupBy("sid", "bucket").agg(F.sum(amount).alias("part"))
     before = F.coalesce(F.sum("part").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = parts.select("sid", "bucket", before.alias("base"))
+    base = parts.select("sid", "bucket", before.alias("base")).repartition("sid", "bucket")
     inside = F.sum(amount).over(Window.partitionBy("sid", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("inside", inside).join(base, ["sid", "bucket"]).withColumn(name, F.col("base") + F.col("inside")).drop("base", "inside")
 
 
+def _with_source(rows: DataFrame, facts: DataFrame, sources: int) -> DataFrame:
+    """rows joined with a row per source. Few sources are broadcast; of many, each one's row is copied for SALTS salts,
+    so that a source that holds a third of all rows is never dealt to one task."""
+    if sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(facts), "sid")
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64("bucket"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", own).join(salted, ["sid", "salt"]).drop("salt")
+
+
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, times (0 to 3) and finish (virtual finish time of the first round).
 
@@ -67,14 +79,15 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     turn = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = cut(docs.select("doc_id", "source", own.alias("sid"), word_count(F.col(text)).alias("size"), turn.alias("turn")), "sizes").withColumn("bucket", F.substring("turn", 1, DIGITS))
     goal = cut(targets(sized), "targets")
-    queued = _running(sized, "size", "reach").join(goal, "sid")
+    sources = goal.count()
+    queued = _with_source(_running(sized, "size", "reach"), goal, sources)
     rounds = lambda e: (F.col("reach") + e * F.col("source_size")).cast("double") <= F.col("target")
     taken = queued.withColumn("times", sum((rounds(e).cast("int") for e in range(ROUNDS)), F.lit(0)))
     for _ in range(FILLS):
         done = cut(taken, "taken")
         short = done.groupBy("sid").agg((F.first("target") - F.sum(F.col("times") * F.col("size"))).alias("short"))
         fits = (F.col("times") < ROUNDS) & (F.col("size") <= F.col("short"))
-        offered = done.join(short, "sid").withColumn("offer", F.when(fits, F.col("size")).otherwise(0))
+        offered = _with_source(done, short, sources).withColumn("offer", F.when(fits, F.col("size")).otherwise(0))
         filled = _running(offered, "offer", "sum")
         taken = filled.withColumn("times", F.col("times") + F.when(fits & (F.col("sum").cast("double") <= F.col("short")), 1).otherwise(0)).drop("short", "offer", "sum")
     finish: Column = F.when(F.col("target") > 0, F.col("reach") / F.col("target"))
