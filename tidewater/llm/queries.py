@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, linededup, mixing, sharding, simhash, toxicity, warc
+from . import ann, decontaminate, html, linededup, mixing, secrets, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_secrets": secrets.op2_secrets,
     "op3_simhash": simhash.op3_simhash,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_html": html.op5_html,
     "op6_ann": ann.op6_ann,
     "op7_linededup": linededup.op7_linededup,
     "op8_warc": warc.op8_warc,
