@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import signals
+from . import learning, signals
 
-MODULES = (signals,)
+MODULES = (signals, learning)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
