@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import federation, learning, signals
+from . import federation, learning, raw, signals
 
-MODULES = (signals, learning, federation)
+MODULES = (signals, learning, federation, raw)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
