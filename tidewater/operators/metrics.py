@@ -68,7 +68,7 @@ def calibration_errors(df: DataFrame, keys: list[str]) -> DataFrame:
     conf = F.greatest(p, 1 - p)
     right = (F.col("y") == (p >= 0.5).cast("int")).cast("double")
     kinds = F.array(F.struct(F.lit("probability").alias("kind"), p.alias("x"), F.col("y").cast("double").alias("hit")), F.struct(F.lit("confidence").alias("kind"), conf.alias("x"), right.alias("hit")))
-    binned = df.select(*keys, F.explode(kinds).alias("k")).select(*keys, "k.*").withColumn("__bin", F.least(F.floor(F.col("x") * 10), F.lit(9)))
+    binned = df.select(*keys, F.explode(kinds).alias("__k")).select(*keys, "__k.*").withColumn("__bin", F.least(F.floor(F.col("x") * 10), F.lit(9)))
     gaps = binned.groupBy(*keys, "kind", "__bin").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("x") - F.avg("hit")).alias("gap"))
     return gaps.groupBy(*keys).agg(*[_ratio(F.sum(F.when(F.col("kind") == k, F.col("n") * F.col("gap"))), F.sum(F.when(F.col("kind") == k, F.col("n")))).alias(f"{k}_ece") for k in ("probability", "confidence")])
 

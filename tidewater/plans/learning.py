@@ -289,7 +289,7 @@ def personal_bias(spark, d):
     from ..operators.personalize import personal_rows
 
     rows = scored(spark, d).select("lang", F.col("source").alias("client_id"), "doc_id", "y", F.ln(F.col("p") / (1 - F.col("p"))).alias("z"))
-    part = F.when(F.expr("row_number() over (partition by client_id order by doc_id)") <= 20, "support").otherwise("query")
+    part = F.when(F.expr("row_number() over (partition by client_id order by doc_id) <= least(20, count(1) over (partition by client_id) / 3)"), "support").otherwise("query")
     return rounded(personal_rows(rows.withColumn("part", part), 0.5, 0.1))
 
 
