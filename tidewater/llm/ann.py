@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 K, EVERY = 20, 20
-#: Different vectors the trees are fitted on (lowest hashes first), trees, wanted rows of a leaf.
+#: Different vectors (about so many, drawn by hash) the trees are fitted on, trees, wanted rows of a leaf.
 SAMPLE, TREES, LEAF = 20_000, 8, 256
 #: A query visits as many leaves as give this recall among TUNE queries of the sample, whose neighbours lie further
 #: apart than those of all rows.
@@ -164,7 +164,10 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     facts = unlike.agg(F.count(F.lit(1)), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x))).first()
     if not facts[0]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = _matrix(unlike.orderBy(F.xxhash64("first")).limit(SAMPLE).select("vec").toPandas()["vec"])
+    share = min(1.0, SAMPLE / facts[0])
+    sample = _matrix(unlike.filter(F.pmod(F.xxhash64("first"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("first").select("vec").toPandas()["vec"])
+    if not len(sample):  # of so few vectors that the draw can miss all
+        sample = _matrix(unlike.select("vec").limit(1).toPandas()["vec"])
     forest = fit(sample, float(np.sqrt(facts[1])), facts[0])
     leaves = tune(forest, sample, k)
 
@@ -180,13 +183,13 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     def rerank(part: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
         """Of one chunk the k + 1 different vectors nearest to each query."""
         if not len(part) or not len(probe):
-            return pd.DataFrame({"q": [], "first": [], "score": [], "ids": []})
+            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "first": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float), "ids": pd.Series([], dtype=object)})
         first, x, y, out = part["first"].to_numpy(), _matrix(part["vec"]), _matrix(probe["probe"]), []
-        ids = part["ids"].to_numpy()
+        ids = [list(map(int, x)) for x in part["ids"]]
         for q, row in zip(probe["q"], y, strict=True):
             score = (x * row).sum(1)
             best = np.lexsort((first, -score))[: k + 1]
-            out.append(pd.DataFrame({"q": q, "first": first[best], "score": score[best], "ids": ids[best]}))
+            out.append(pd.DataFrame({"q": q, "first": first[best], "score": score[best], "ids": [ids[i] for i in best]}))
         return pd.concat(out)
 
     by = ["tree", "leaf", "chunk"]
