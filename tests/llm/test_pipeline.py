@@ -23,7 +23,7 @@ def test_each_stage_takes_effect(spark):
             assert was - ids == bad
         elif name == "simhash":
             groups = {}
-            for r in simhash.near_duplicates(before).collect():
+            for r in simhash.near_copies(before).collect():
                 groups.setdefault(r["component_id"], set()).add(r["doc_id"])
             assert all(len(g & ids) == 1 for g in groups.values())
         elif name == "decontamination":

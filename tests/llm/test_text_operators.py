@@ -200,6 +200,30 @@ def test_hot_buckets_link_the_same(spark, hot):
     assert [roots.get(x, x) for x in sorted(rows)] == want
 
 
+def test_near_copies_of_five_word_similarity(spark):
+    """Copies of a similarity of 0.8 or more share a component; documents without a partner of 0.5 stay alone."""
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    shingles = {}
+    for r in docs.collect():
+        w = (r["text"] or "").lower().split()
+        shingles[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    of = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    ids, near, caught = sorted(shingles), 0, 0
+    partner = set()
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = shingles[a], shingles[b]
+            if 2 * min(len(x), len(y)) >= max(len(x), len(y)) and (common := len(x & y)) * 3 >= len(x) + len(y):
+                partner |= {a, b}
+                if common >= 0.8 * (len(x) + len(y) - common):
+                    near, caught = near + 1, caught + (of[a] == of[b])
+    assert near > 10 and caught >= 0.95 * near
+    sizes = {}
+    for c in of.values():
+        sizes[c] = sizes.get(c, 0) + 1
+    assert all(sizes[of[i]] == 1 for i in ids if i not in partner)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (1, 0)]
     roots = {r["u"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
