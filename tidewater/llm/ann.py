@@ -26,12 +26,12 @@ from .common import cut, table
 
 K, EVERY = 20, 20
 #: Different vectors (about so many, drawn by hash) the trees are fitted on, trees, wanted rows of a leaf.
-SAMPLE, TREES, LEAF = 20_000, 8, 256
+SAMPLE, TREES, LEAF = 20_000, 8, 512
 #: A query visits as many leaves as give this recall among TUNE queries of the sample, whose neighbours lie further
 #: apart than those of all rows.
-RECALL, TUNE = 0.96, 200
+RECALL, TUNE = 0.95, 200
 #: Rows of a leaf above which it is split in chunks that are searched apart.
-CHUNK = 1024
+CHUNK = 2048
 
 
 @dataclass
@@ -181,21 +181,20 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     probes = visits.join(chunks, ["tree", "leaf"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def rerank(part: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
-        """Of one chunk the k + 1 different vectors nearest to each query."""
+        """A row per query with the k + 1 different vectors of one chunk nearest to it."""
         if not len(part) or not len(probe):
-            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "first": pd.Series([], dtype="int64"), "score": pd.Series([], dtype=float), "ids": pd.Series([], dtype=object)})
-        first, x, y, out = part["first"].to_numpy(), _matrix(part["vec"]), _matrix(probe["probe"]), []
-        ids = [list(map(int, x)) for x in part["ids"]]
-        for q, row in zip(probe["q"], y, strict=True):
-            score = (x * row).sum(1)
-            best = np.lexsort((first, -score))[: k + 1]
-            out.append(pd.DataFrame({"q": q, "first": first[best], "score": score[best], "ids": [ids[i] for i in best]}))
-        return pd.concat(out)
-
-    by = ["tree", "leaf", "chunk"]
-    met = parts.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(rerank, "q long, first long, score double, ids array<bigint>")
-    once = met.groupBy("q", "first").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
-    spread = once.select("q", "score", F.explode("ids").alias("vec_id"))
+            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "best": pd.Series([], dtype=object)})
+        first, ids, x, y, out = part["first"].to_numpy(np.int64), [list(map(int, i)) for i in part["ids"]], _matrix(part["vec"]), _matrix(probe["probe"]), []
+        for at in range(0, len(y), 512):
+            for row, score in zip(*nearest_rows(x, y[at : at + 512], first, k + 1), strict=True):
+                out.append([{"far": -s, "first": int(first[i]), "ids": ids[i]} for i, s in zip(row.tolist(), score.tolist(), strict=True)])
+        return pd.DataFrame({"q": probe["q"].to_numpy(), "best": pd.Series(out, dtype=object)})
+
+    by, best = ["tree", "leaf", "chunk"], "array<struct<far:double,first:bigint,ids:array<bigint>>>"
+    met = parts.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(rerank, f"q long, best {best}")
+    # of a query's lists, one for each leaf it visits, the k + 1 nearest different vectors: no row per candidate
+    top = met.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
+    spread = top.select("q", F.explode("best").alias("b")).select("q", (-F.col("b.far")).alias("score"), F.explode("b.ids").alias("vec_id"))
     near = spread.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("nth") <= k + 1)
     # a query's own row goes, which is one of the k + 1 or is none of the k
     mine = queries.join(near.select("q", "nth", "score", "vec_id"), "q")
@@ -205,5 +204,25 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest_rows(x: np.ndarray, y: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of y the k rows of x of largest inner product, ties to the smaller of first, and the products.
+
+    A matrix product chooses a few more than k; their products are summed again in one order, so that a pair has the
+    same score wherever it is met. Where the last of them ties with the k-th, the row is sorted whole.
+    """
+    wide = min(k + 8, len(x))
+    rough = y @ x.T
+    chosen = np.argpartition(-rough, wide - 1, axis=1)[:, :wide] if wide < len(x) else np.tile(np.arange(len(x)), (len(y), 1))
+    score = (x[chosen] * y[:, None, :]).sum(2)
+    order = np.lexsort((first[chosen], -score), axis=1)
+    chosen, score = np.take_along_axis(chosen, order, 1), np.take_along_axis(score, order, 1)
+    if wide < len(x):
+        for i in np.flatnonzero(score[:, min(k, wide) - 1] <= score[:, -1] + 1e-12):
+            whole = (x * y[i]).sum(1)
+            chosen[i] = np.lexsort((first, -whole))[:wide]
+            score[i] = whole[chosen[i]]
+    return chosen[:, :k], score[:, :k]
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
