@@ -183,18 +183,20 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     def rerank(part: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
         """A row per query with the k + 1 different vectors of one chunk nearest to it."""
         if not len(part) or not len(probe):
-            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "best": pd.Series([], dtype=object)})
-        first, ids, x, y, out = part["first"].to_numpy(np.int64), [list(map(int, i)) for i in part["ids"]], _matrix(part["vec"]), _matrix(probe["probe"]), []
+            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "far": pd.Series([], dtype=object), "first": pd.Series([], dtype=object)})
+        first, x, y, far, names = part["first"].to_numpy(np.int64), _matrix(part["vec"]), _matrix(probe["probe"]), [], []
         for at in range(0, len(y), 512):
-            for row, score in zip(*nearest_rows(x, y[at : at + 512], first, k + 1), strict=True):
-                out.append([{"far": -s, "first": int(first[i]), "ids": ids[i]} for i, s in zip(row.tolist(), score.tolist(), strict=True)])
-        return pd.DataFrame({"q": probe["q"].to_numpy(), "best": pd.Series(out, dtype=object)})
+            chosen, score = nearest_rows(x, y[at : at + 512], first, k + 1)
+            far += list(-score)
+            names += list(first[chosen])
+        return pd.DataFrame({"q": probe["q"].to_numpy(), "far": pd.Series(far, dtype=object), "first": pd.Series(names, dtype=object)})
 
-    by, best = ["tree", "leaf", "chunk"], "array<struct<far:double,first:bigint,ids:array<bigint>>>"
-    met = parts.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(rerank, f"q long, best {best}")
+    by = ["tree", "leaf", "chunk"]
+    met = parts.drop("ids").groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(rerank, "q long, far array<double>, first array<bigint>").select("q", F.arrays_zip("far", "first").alias("best"))
     # of a query's lists, one for each leaf it visits, the k + 1 nearest different vectors: no row per candidate
     top = met.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
-    spread = top.select("q", F.explode("best").alias("b")).select("q", (-F.col("b.far")).alias("score"), F.explode("b.ids").alias("vec_id"))
+    picked = top.select("q", F.explode("best").alias("b")).select("q", (-F.col("b.far")).alias("score"), F.col("b.first").alias("first"))
+    spread = picked.join(unlike.select("first", "ids"), "first").select("q", "score", F.explode("ids").alias("vec_id"))
     near = spread.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("nth") <= k + 1)
     # a query's own row goes, which is one of the k + 1 or is none of the k
     mine = queries.join(near.select("q", "nth", "score", "vec_id"), "q")
