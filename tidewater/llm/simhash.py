@@ -114,84 +114,145 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: Wide fingerprints for copies of a similarity of 0.8 over five-word shingles: words of 64 bits, from each of which two
-#: segments are looked up, and the bits of all in which two fingerprints may differ. Shingle sets of Jaccard similarity
-#: 0.8 have a cosine of 0.89, so their bits differ with probability 0.15: 39 of 256 on average.
-WIDE_WORDS, WIDE_SHINGLE, WIDE_BITS = 4, 5, 43
+#: Copies are texts whose sets of five-word shingles have a Jaccard similarity of at least 4 / 5.
+COPY_SHINGLE = 5
+#: Shingles in at least COMMON_COUNT texts of a drawn sixteenth are looked up last, at most COMMON of them. This and the
+#: draw set an order, which decides how fast copies are found and never which.
+COMMON, COMMON_COUNT, COMMON_SHARE = 250_000, 4, 16
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> list[int]:
-    """WIDE_WORDS signed longs: SimHashes under as many mixings of each different shingle's hash."""
+def shingle_hashes(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The different hashes of a text's shingles, ascending; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return [0] * WIDE_WORDS
+    joined = b" ".join(words)
+    n = max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts, stops = [0, *(ends[: n - 1] + 1).tolist()], ends[min(shingle, len(words)) - 1 :].tolist() if words else [0]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([*{digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}], dtype=np.uint64)
-    out = []
-    for word in range(WIDE_WORDS):
-        mixed = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(31)
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(mixed), _CHUNK):
-            ones += np.unpackbits(mixed[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(mixed), bitorder="little").view("<i8")[0]))
-    return out
-
-
-def _wide_column(text: str) -> Column:
+    return np.array(sorted({digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)}), dtype=np.uint64).view(np.int64)
+
+
+def _shingles_column(text: str) -> Column:
     @F.pandas_udf("array<bigint>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([wide_fingerprint(t) for t in texts], dtype=object)
+            yield pd.Series([shingle_hashes(t) for t in texts], dtype=object)
 
     return run(F.col(text))
 
 
-def wide_links(prints: DataFrame) -> DataFrame:
-    """prints (node long, words array<long>, distinct): edges (u, v) of fingerprints at most WIDE_BITS apart.
-
-    The ball of radius one around each segment is enumerated on both sides, so segments up to two bits apart meet. All
-    that meet under a key are compared with the least of them, never with one another: a group of near copies, which
-    meets under hundreds of keys, costs rows in proportion to its size, and no pairs. Unlike links() this can miss a
-    pair. Segments have 24 bits for up to 300 thousand fingerprints, in which 0.8-similar texts meet under some key with
-    a probability of 0.93 (0.85-similar ones 0.99), and widen with the logarithm of their number up to 32, so that
-    chance meetings stay rarer than one in two keys; at 32 bits the probabilities are 0.64 and 0.85.
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, ascending, and their ranks from 1, the rarest first."""
+    drawn = texts.filter(F.pmod("node", F.lit(COMMON_SHARE)) == 0).select("node", F.explode(_shingles_column("text")).alias("token"))
+    counts = drawn.groupBy("token").agg(F.count_distinct("node").alias("n")).filter(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "token").limit(COMMON)
+    found = counts.select("token").toArrow().column(0).to_numpy()
+    order = np.argsort(found)
+    return found[order], len(found) - order
+
+
+def _prefixes(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """(token, node, n): of each text's n shingles the n // 5 + 1 first, uncommon ones by hash, then common ones."""
+
+    def rows(tokens: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pd.DataFrame:
+        each = [len(t) for t in tokens]
+        return pd.DataFrame({"token": np.concatenate(tokens), "node": np.repeat(np.array(nodes, dtype=np.int64), each), "n": np.repeat(sizes, each)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()  # copies in one task are looked up once
+        for batch in batches:
+            tokens, nodes, sizes, held = [], [], [], 0
+            for node, text in zip(batch["node"].tolist(), batch["text"], strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                own = shingle_hashes(text)
+                late = np.zeros(len(own), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    late = np.where(common[at] == own, rank[at], 0)
+                first = own[np.argsort(late, kind="stable")[: len(own) // 5 + 1]]
+                tokens.append(first)
+                nodes.append(node)
+                sizes.append(len(own))
+                held += len(first)
+                if held > _CHUNK:
+                    yield rows(tokens, nodes, sizes)
+                    tokens, nodes, sizes, held = [], [], [], 0
+            if tokens:
+                yield rows(tokens, nodes, sizes)
+
+    return texts.mapInPandas(run, "token long, node long, n long")
+
+
+def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """met (u, v, nu, nv), a row for each first shingle that u and v share: pairs of a Jaccard similarity of at least 4 / 5.
+
+    What two texts share beyond the first shingles of both lies beyond those of u or of v, so the rows of a pair and the
+    larger rest of the two bound what they share. Only pairs whose bound allows 4 / 5 have their shingles compared.
+    """
+    rest = lambda n: n - F.floor(n / 5) - 1
+    rows = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.greatest(rest(F.col("nu")), rest(F.col("nv"))).alias("rest"), (F.col("nu") + F.col("nv")).alias("both"))
+    bound = rows.groupBy("u", "v", "rest", "both").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = cut(bound.filter(9 * (F.col("shared") + F.col("rest")) >= 4 * F.col("both")).select("u", "v"), "pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    own = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = cut(own.select("node", _shingles_column("text").alias("shingles")), "sets")
+    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "su"), ("v", "sv")))
+    shared = pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("su", "sv")).alias("shared"), (F.size("su") + F.size("sv")).alias("both"))
+    return cut(shared.filter(9 * F.col("shared") >= 4 * F.col("both")).select("u", "v"), "verified")
+
+
+def similar_links(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """texts (node long, text), one text per node, repeats allowed; known edges (u, v). Returns known and further edges,
+    which together connect all texts of a Jaccard similarity of at least 0.8, and none by less.
+
+    Two such sets share at least 4 / 5 of either, so under any common order of shingles they share one of the n // 5 + 1
+    first of each: no pair is missed, at any size. Shingles of common passages come last in the order, so texts that
+    share no more than a passage do not meet. Texts that meet under a shingle are first compared with the least and the
+    greatest of them; then all pairs that meet and are not yet connected are compared, so a group of near copies
+    is not expanded into pairs unless those comparisons leave it in pieces. Each candidate's exact similarity decides.
     """
-    segment = min(32, max(24, (25 * max(prints.count(), 1)).bit_length() + 1))
-    half = lambda w, k: F.shiftrightunsigned(w, segment * k).bitwiseAND(F.lit((1 << segment) - 1))
-    segments = F.array(*[half(F.get("words", F.lit(i)), k) for i in range(WIDE_WORDS) for k in (0, 1)])
-    masks = F.expr("array(0L, " + ", ".join(f"{1 << i}L" for i in range(segment)) + ")")
-    parts = prints.select("node", F.posexplode(segments).alias("at", "part"))
-    keys = parts.select("node", F.explode(F.transform(masks, lambda m: F.col("part").bitwiseXOR(m) + F.col("at").cast("long") * (1 << segment))).alias("key"))
-    met = keys.withColumn("least", F.min("node").over(Window.partitionBy("key"))).filter("node <> least")
-    pairs = met.groupBy(F.col("node").alias("u"), F.col("least").alias("v")).agg(F.lit(1).alias("one"))
-    x, y = (prints.select(F.col("node").alias(n), F.col("words").alias(w)) for n, w in (("u", "wu"), ("v", "wv")))
-    apart = F.aggregate(F.zip_with("wu", "wv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
-    return pairs.join(x, "u").join(y, "v").filter(apart <= WIDE_BITS).select("u", "v")
+    same = lambda a, b: (4 * a <= 5 * b) & (4 * b <= 5 * a)  # noqa: E731  sizes that allow 0.8
+    by_token = Window.partitionBy("token")
+    rows = _prefixes(texts, *_common(texts)).repartition("token").dropDuplicates(["token", "node"])
+    ends = {k: f(F.struct("node", "n")).over(by_token) for k, f in (("least", F.min), ("most", F.max))}
+    met = cut(rows.withColumns(ends).filter("least.node <> most.node"), "met")
+    stars = [met.filter((F.col("node") != F.col(f"{k}.node")) & same(F.col("n"), F.col(f"{k}.n"))).select(F.col("node").alias("u"), F.col(f"{k}.node").alias("v"), F.col("n").alias("nu"), F.col(f"{k}.n").alias("nv")) for k in ends]
+    linked = known.unionByName(_verified(stars[0].unionByName(stars[1]), texts))
+    here = met.select("token", "node", "n").join(components(linked).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = here.withColumns({"lo": F.min("root").over(by_token), "hi": F.max("root").over(by_token)}).filter("lo <> hi").drop("lo", "hi")
+    largest = F.max(F.struct("k", "root")).over(by_token)["root"]
+    left = cut(apart.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token", "root"))).withColumn("main", largest), "apart")
+    a, b = left.filter("root <> main").alias("a"), left.alias("b")
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    crossed = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & same(F.col("a.n"), F.col("b.n")))
+    return linked.unionByName(_verified(crossed.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")), texts))
+
+
+def _copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, node (a hash of the text), root and component_id of each row."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    marked = cut(texts.select("doc_id", "node", fingerprint_column("text").alias("fp")), "marked")
+    prints = cut(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "prints")
+    # nodes of one fp are one for links()
+    narrow = prints.groupBy("fp").agg(F.min("node").alias("least"))
+    same = prints.join(narrow, "fp").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    a, b = (narrow.select(F.col("fp").alias(k), F.col("least").alias(n)) for k, n in (("u", "nu"), ("v", "nv")))
+    close = links(narrow.select("fp")).join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    known = cut(same.unionByName(close), "known")
+    roots = components(similar_links(texts.select("node", "text"), known)).withColumnRenamed("u", "node")
+    rooted = prints.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
+    return marked.join(named.select("node", "root", "component_id"), "node").select("doc_id", "node", "root", "component_id")
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and component_id by wide fingerprints and by the links of near_duplicates, whichever join.
+    """doc_id and component_id by a Jaccard similarity of 0.8 over five-word shingles and by the links of near_duplicates,
+    whichever join.
 
     Null and wordless texts are copies of each other. Null ids are kept and name no component.
     """
-    marked = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), _wide_column(text).alias("words"), fingerprint_column(text).alias("fp")), "wide")
-    prints = cut(marked.groupBy("words", "fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("words", "fp")), "prints")
-    # the same text has the same words and fp; nodes of one fp are one for links()
-    narrow = prints.groupBy("fp").agg(F.min("node").alias("least"))
-    same = prints.join(narrow, "fp").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    by_fp = links(narrow.select("fp"))
-    a, b = (narrow.select(F.col("fp").alias(k), F.col("least").alias(n)) for k, n in (("u", "nu"), ("v", "nv")))
-    close = by_fp.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-    alike = cut(prints.groupBy("words").agg(F.min("node").alias("node")), "alike")
-    joined = prints.select("node", "words").join(alike.withColumnRenamed("node", "least"), "words").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    edges = same.unionByName(close).unionByName(joined).unionByName(wide_links(alike))
-    roots = components(edges).withColumnRenamed("u", "node")
-    rooted = prints.join(roots, "node", "left").select("words", "fp", "first", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("words", "fp", "component_id")
-    return marked.join(named, ["words", "fp"]).select("doc_id", "component_id")
+    return _copies(docs, doc_id, text).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
