@@ -110,6 +110,29 @@ def mean_consensus(updates: DataFrame, group: str, client: str, vector: str) ->
     return sums.select(group, client, (F.col("__d") / F.greatest("consensus", F.lit(1e-12))).alias("cosine"), "consensus", F.ln("__n").alias("log_norm"))
 
 
+def left_out_medians(points: np.ndarray, iterations: int = 60, tol: float = 1e-7, block: int = 256) -> np.ndarray:
+    """For each point the geometric median of all others, as geometric_median steps to it; a block of points at a time."""
+    n, out = len(points), np.zeros(points.shape, dtype=float)
+    if n < 2:
+        return out
+    squares, total = (points * points).sum(1), points.sum(0)
+    for start in range(0, n, block):
+        rows = np.arange(start, min(start + block, n))
+        centre = (total - points[rows]) / (n - 1)
+        going = np.arange(len(rows))
+        for _ in range(iterations):
+            now = centre[going]
+            pull = 1 / np.maximum(np.sqrt(np.maximum(squares - 2 * now @ points.T + (now * now).sum(1)[:, None], 0.0)), 1e-12)
+            pull[np.arange(len(going)), rows[going]] = 0.0
+            moved = pull @ points / pull.sum(1)[:, None]
+            centre[going] = moved
+            going = going[np.linalg.norm(moved - now, axis=1) > tol * np.maximum(1.0, np.linalg.norm(now, axis=1))]
+            if not len(going):
+                break
+        out[rows] = centre
+    return out
+
+
 def robust_screen(updates: DataFrame, group: str, client: str, vector: str, least: int = 5) -> DataFrame:
     """The screen with leave-one-out geometric medians; groups of fewer than least clients are passed unscreened."""
 
@@ -117,13 +140,10 @@ def robust_screen(updates: DataFrame, group: str, client: str, vector: str, leas
         x = np.array(part[vector].tolist(), dtype=float)
         size = np.linalg.norm(x, axis=1)
         unit = x / np.maximum(size, 1e-12)[:, None]
-        rows = []
-        for i in range(len(x)):
-            others = np.delete(unit, i, axis=0)
-            c = geometric_median(others, np.ones(len(others)))[0] if len(others) else np.zeros(x.shape[1])
-            n = np.linalg.norm(c)
-            rows.append((part[group].iloc[i], part[client].iloc[i], float(unit[i] @ c / max(n, 1e-12)), float(n), float(np.log(max(size[i], 1e-12)))))
-        return pd.DataFrame(rows, columns=[group, client, "cosine", "consensus", "log_norm"])
+        c = left_out_medians(unit)
+        n = np.linalg.norm(c, axis=1)
+        cosine = (unit * c).sum(1) / np.maximum(n, 1e-12)
+        return pd.DataFrame({group: part[group].to_numpy(), client: part[client].to_numpy(), "cosine": cosine, "consensus": n, "log_norm": np.log(np.maximum(size, 1e-12))})
 
     kinds = dict(updates.dtypes)
     scored = updates.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {client} {kinds[client]}, cosine double, consensus double, log_norm double")

@@ -92,8 +92,7 @@ def loo_cosine_screen(spark, d):
 @query("robust_screen")
 def robust_screen(spark, d):
     """Screening with leave-one-out geometric medians; an iteration's result, so rows only."""
-    u = updates(spark, d).filter("vec_id % 5 = 0")
-    return rounded(sketch.robust_screen(u, "label", "vec_id", "v").select("label", "vec_id", "cosine", "flagged", "weight", "screened"), 4)
+    return rounded(sketch.robust_screen(updates(spark, d), "label", "vec_id", "v").select("label", "vec_id", "cosine", "flagged", "weight", "screened"), 4)
 
 
 STEPS = 5
@@ -214,7 +213,7 @@ def malicious_clients(spark, d):
 
 
 def _clients(spark, d):
-    e = epochs(spark, d).filter(F.substring("client_id", -1, 1).isin("0", "5"))
+    e = epochs(spark, d)
     x = F.array((F.col("value") - 50) / 40, F.ln(F.col("value") + 1) / 4, F.when(F.col("gappy").isNotNull(), F.col("gappy") / 100).otherwise(F.lit(float("nan"))))
     return e.select("client_id", x.alias("x"), "y")
 
