@@ -38,3 +38,18 @@ def test_copies_with_a_common_passage_are_all_found(spark):
         texts += [own, _changed(rng, own, 3)]
     of = _components(spark, texts)
     assert all(of[i] == of[i + 1] == i for i in range(0, len(texts), 2))
+
+
+def test_similarity_of_five_word_shingles_decides(spark):
+    """Pairs around 0.8: all of at least 0.8 are copies; below, only those that op3_simhash's own three bits link."""
+    rng, texts = random.Random(2), []
+    for k in range(200):
+        own = _words(rng, 204)
+        texts += [own, _changed(rng, own, 3 + k % 4)]
+    of = _components(spark, texts)
+    prints = [simhash.fingerprint(" ".join(t)) for t in texts]
+    pairs = range(0, len(texts), 2)
+    above = {i: _similarity(texts[i], texts[i + 1]) >= 0.8 for i in pairs}
+    narrow = {i: (prints[i] ^ prints[i + 1]).bit_count() <= 3 for i in pairs}
+    assert sum(above.values()) == 100 and sum(not above[i] and not narrow[i] for i in pairs) > 80
+    assert {i: of[i] == of[i + 1] for i in pairs} == {i: above[i] or narrow[i] for i in pairs}
