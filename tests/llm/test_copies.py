@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tidewater.llm import simhash
 
 
@@ -53,3 +55,17 @@ def test_similarity_of_five_word_shingles_decides(spark):
     narrow = {i: (prints[i] ^ prints[i + 1]).bit_count() <= 3 for i in pairs}
     assert sum(above.values()) == 100 and sum(not above[i] and not narrow[i] for i in pairs) > 80
     assert {i: of[i] == of[i + 1] for i in pairs} == {i: above[i] or narrow[i] for i in pairs}
+
+
+@pytest.mark.parametrize("count", [1, 2, 10**9])
+def test_copies_do_not_depend_on_what_counts_as_common(spark, monkeypatch, count):
+    """The list of common shingles is all that follows the table's size: from all shingles to none, the same pairs are found."""
+    rng = random.Random(3)
+    passage, texts = _words(rng, 100), []
+    for _ in range(100):
+        own = passage + _words(rng, 104)
+        texts += [own, _changed(rng, own, 4)]
+    monkeypatch.setattr(simhash, "COMMON_COUNT", count, raising=False)
+    monkeypatch.setattr(simhash, "COMMON_SHARE", 1, raising=False)
+    of = _components(spark, texts)
+    assert all(of[i] == of[i + 1] == i for i in range(0, len(texts), 2))
