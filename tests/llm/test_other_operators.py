@@ -97,9 +97,10 @@ def test_recall_and_exact_scores(spark):
 def test_ann_odd_cases(spark):
     g = np.random.default_rng(0)
     rows = [(i, g.standard_normal(4).tolist()) for i in range(1, 60)] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(100, 190)]
-    bad = [(200, None), (220, [0.0] * 4), (240, [None, 1.0, 1.0, 1.0]), (260, [float("nan"), 1.0, 1.0, 1.0]), (280, [float("inf"), 1.0, 1.0, 1.0]), (300, [1.0, 2.0]), (320, []), (None, [1.0] * 4)]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows + bad], "vec_id long, embedding array<double>, rank int, score int")
-    want = _brute(rows)
+    bad = [(200, None), (220, [0.0] * 4), (240, [None, 1.0, 1.0, 1.0]), (260, [float("nan"), 1.0, 1.0, 1.0]), (280, [float("inf"), 1.0, 1.0, 1.0]), (320, []), (None, [1.0] * 4)]
+    short = [(300, [1.0, 2.0])]  # counts as filled up with zeros
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows + bad + short], "vec_id long, embedding array<double>, rank int, score int")
+    want = _brute([*rows, (300, [1.0, 2.0, 0.0, 0.0])])
     got = {}
     for r in ann.nearest(df).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
@@ -110,7 +111,11 @@ def test_ann_odd_cases(spark):
     assert sorted(r["rank"] for r in few) == [1, 2]
 
 
-def test_forest_lifts_large_vectors(spark):
+@pytest.mark.parametrize("bounds", [{}, {"SAMPLE": 400, "LEAF": 64, "CELL": 300, "PROBES": 16, "LISTS": 50}])
+def test_forest_lifts_large_vectors(spark, monkeypatch, bounds):
+    """Recall holds when the sample is far smaller than the table and cells, probes and lists are dealt to many calls."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(ann, name, value)
     g = np.random.default_rng(1)
     rows = [(i, (g.standard_normal(8) * g.uniform(0.2, 5)).tolist()) for i in range(3000)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import remove, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -31,14 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v), of any orientation, repeats and loops allowed; returns (u, root) for each node that is not its component's least node.
 
     A round costs four shuffles of the edge table; rounds grow with the logarithm of the component size.
-    Every round is written to the shared folder, so the lineage stays one round deep. No row reaches the driver
-    but a count and a checksum of the edges, by which the end is seen.
+    Every round is written to the shared folder, so the lineage stays one round deep; the round before is deleted then.
+    No row reaches the driver but a count and a checksum of the edges, by which the end is seen.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    now, path = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark[0] == 0 or mark == seen:
             return now.select("u", F.col("v").alias("root"))
-        seen = mark
-        now = cut(_small_star(_large_star(now)).distinct(), "edges")
+        seen, old = mark, path
+        now, path = written(_small_star(_large_star(now)).distinct(), "edges")
+        remove(edges.sparkSession, old)
