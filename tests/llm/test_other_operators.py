@@ -191,7 +191,7 @@ def _check(rows, shards, texts):
 
 def test_shards_are_near_equal_in_bytes(spark):
     rng = random.Random(5)
-    texts = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 400))) for _ in range(3000)] + ["copy of the same text"] * 1500
+    texts = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 400))) for _ in range(3000)] + ["copy of the same text"] * 4000
     df = spark.createDataFrame([(i, t, rng.choice(["en", "de", None]), rng.choice(["s1", "s1", "s2", None])) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     rows = sharding.shard(df, 12).collect()
     _check(rows, 12, texts)
@@ -199,11 +199,38 @@ def test_shards_are_near_equal_in_bytes(spark):
     assert size.max() <= 1.02 * size.mean() and size.min() >= 0.98 * size.mean()
     again = sharding.shard(df.orderBy(F.col("doc_id").desc()), 12).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    # the copies fill two shards; no other text is divided
     spread = {}
     for r in rows:
-        if r["text_crc32"] != zlib.crc32(b"copy of the same text"):
-            spread.setdefault(r["text_crc32"], set()).add(r["shard"])
-    assert np.mean([len(x) == 1 for x in spread.values()]) > 0.95
+        spread.setdefault(r["text_crc32"], set()).add(r["shard"])
+    large = zlib.crc32(b"copy of the same text")
+    assert all(len(x) == 1 for crc, x in spread.items() if crc != large) and 2 <= len(spread[large]) <= 4
+
+
+def test_equal_texts_share_a_shard_on_whole_tables(spark):
+    sf = DATA.replace("sf0.001", "sf0.01")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = sharding.op9_sharding(spark, sf).collect()
+    assert rows[0].asDict().keys() == {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    _check(rows, 40, list(texts.values()))
+    size = np.bincount([r["shard"] for r in rows], [r["size"] for r in rows], 40)
+    assert size.min() >= 0.95 * size.mean() and size.max() <= 1.05 * size.mean()
+    spread, weight = {}, {}
+    for r in rows:
+        spread.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        weight[texts[r["doc_id"]]] = weight.get(texts[r["doc_id"]], 0) + r["size"]
+    assert any(len(x) > 1 for x in spread.values()) <= any(w > size.mean() for w in weight.values())
+    assert all(len(x) == 1 or weight[t] > size.mean() for t, x in spread.items())
+
+
+def test_shards_are_added_to_documents_as_they_are(odd, none):
+    out = sharding.with_shard(odd)
+    assert out.columns == [*odd.columns, "shard_"] and out.count() == odd.count()
+    assert sorted(map(repr, out.drop("shard_").collect())) == sorted(map(repr, odd.collect()))
+    by_text = {}
+    for r in out.collect():
+        by_text.setdefault(r["text"] or "", set()).add(r["shard_"])
+    assert all(len(x) == 1 for x in by_text.values()) and sharding.with_shard(none).count() == 0
 
 
 def test_sharding_odd_cases(odd, odd_rows, none):

@@ -1,133 +1,213 @@
 """K-d tree sharding: recursive splits at distributed weighted medians along the widest metadata dimension.
 
-A node that shall give k shards is split so that the lower side gets floor(k/2)/k of its bytes. Its dimension is the
-widest: the one whose values, on a scale common to all documents, spread furthest within the node. Within a dimension
-rows are ordered by value, then by a hash of the text and then by a hash of doc_id, so equal texts stay together unless
-a cut falls inside their group, and a cut can fall anywhere. A weighted median is found by narrowing an interval of
-this order, BINS parts at a time, for all nodes of a level at once; the driver sees a sum for each node and part only.
+The dimensions are measured of the text alone (length, script, word length, line length, share of digits), so equal texts
+are one point: a cut falls between groups of equal texts, and each row finds its shard by walking the tree, without a
+shuffle. A node's dimension is the widest: the one whose values, weighed by bytes and counted in COARSE parts of a scale
+common to all documents, have the largest entropy in the node. Within a dimension rows are ordered by value, then by a
+hash of the text. The weighted median is found by two aggregations a level for all nodes at once: sums by value for all
+dimensions, then sums by parts of the text's hash within the value where the median falls (and further parts of parts
+while a cut is worse than TOLERANCE). The driver sees sums by node and part only.
+
+Groups of equal texts of more than LARGE of a shard would make medians coarse: they are dealt first, the largest to the
+emptiest shard, and the leaves of the tree get what each shard then lacks. There are at most shards / LARGE of them.
+Only a group larger than a shard is divided, by doc_id.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, utf8_bytes
 
 SHARDS, OVERHEAD = 40, 16
-BINS, BITS = 1024, 10
-#: Bits of a dimension, of the hash of the text and of that of doc_id in the order of rows.
-DIM_BITS, HASH_BITS = 20, 30
-LOW = (1 << 50) - 1
+#: Values of a dimension, parts of its scale by which width is told, bits of the text's hash, and bits told apart at once.
+VALUES, COARSE, HASH_BITS, STEP = 4096, 16, 56, 14
+DIMS = ("d0", "d1", "d2", "d3", "d4")
 #: A cut is good when it misses the wanted bytes by less than this share of a shard.
 TOLERANCE = 0.001
+#: Share of a shard from which a group of equal texts is dealt apart.
+LARGE = 0.05
 #: Rows of a part in which slots are numbered.
 SLOT_ROWS = 20_000
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, dimensions d0 to d3 as integers of DIM_BITS bits, and the two hashes."""
-    text, top = F.coalesce(F.col("text"), F.lit("")), (1 << DIM_BITS) - 1
-    scaled = lambda c: F.least(F.floor(c), F.lit(top)).cast("long")
-    tall = lambda c: scaled(F.log2(1 + c) / 40 * top)  # noqa: E731  lengths on a logarithmic scale
-    hashed = lambda *c, bits: F.pmod(F.xxhash64(*c), F.lit(1 << bits))
-    return docs.select(
-        "doc_id",
-        (utf8_bytes(F.col("text")) + OVERHEAD).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        tall(F.octet_length(text)).alias("d0"),
-        scaled((F.octet_length(text) / F.greatest(F.length(text), F.lit(1)) - 1) / 3 * top).alias("d1"),  # bytes a character: the script
-        hashed(F.coalesce("lang", F.lit("")), bits=DIM_BITS).alias("d2"),
-        hashed(F.coalesce("source", F.lit("")), bits=DIM_BITS).alias("d3"),
-        hashed(text, F.lit(1), bits=HASH_BITS).alias("same"),
-        hashed(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(2), bits=HASH_BITS).alias("own"),
-    )
-
-
-def _of_node(values: dict[int, int], kind: str = "long") -> Column:
-    """The value of each row's node, null for others; nodes are at most twice as many as shards."""
-    return F.element_at(F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.lit(v).cast(kind))]), F.col("node"))
-
-
-def grow(rows: DataFrame, shards: int) -> DataFrame:
-    """rows of measured() with shard, 0 to shards - 1."""
-    dims = [c for c in rows.columns if c[:1] == "d" and c[1:].isdigit()]
-    spread = rows.agg(*[F.max(d).alias(d) for d in dims], *[F.min(d).alias(f"low_{d}") for d in dims], F.sum("size").alias("size")).first()
-    whole = [max(1, (spread[d] or 0) - (spread[f"low_{d}"] or 0)) for d in dims]
-    target = (spread["size"] or 0) / shards
-    now, open_nodes, done = rows.withColumn("node", F.lit(0)), {0: shards}, {}
-    while any(k > 1 for k in open_nodes.values()):
-        done |= {n: k for n, k in open_nodes.items() if k == 1}
-        open_nodes = {n: k for n, k in open_nodes.items() if k > 1}
-        ranges = now.groupBy("node").agg(F.sum("size").alias("size"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).filter(F.col("node").isin(*open_nodes)).collect()
-        plan = {}
-        for r in ranges:
-            wide = max(range(len(dims)), key=lambda i: ((r[dims[i]] or 0) / whole[i], -i))
-            plan[r["node"]] = {"dim": wide, "want": r["size"] * (open_nodes[r["node"]] // 2) / open_nodes[r["node"]], "below": 0, "lo": 0, "bits": DIM_BITS + 2 * HASH_BITS, "cut": None}
-        value = F.get(F.array(*dims), F.col("dim"))
-        # 80 bits of order in two longs
-        high = value * (1 << BITS) + F.shiftright("same", HASH_BITS - BITS)
-        low = F.col("same").bitwiseAND(F.lit((1 << (HASH_BITS - BITS)) - 1)) * (1 << HASH_BITS) + F.col("own")
-        if not plan:
+def measures(text: Column, doc_id: Column) -> dict[str, Column]:
+    """size, the dimensions as integers below VALUES, and hashes of the text and of the document's id."""
+    whole = F.coalesce(text, F.lit(""))
+    size, chars = F.octet_length(whole), F.greatest(F.length(whole), F.lit(1))
+    scaled = lambda c: F.greatest(F.least(F.floor(c * VALUES), F.lit(VALUES - 1)), F.lit(0)).cast("int")
+    gaps = F.length(whole) - F.length(F.translate(whole, " \n", ""))
+    lines = F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1
+    digits = F.length(whole) - F.length(F.translate(whole, "0123456789", ""))
+    return {
+        "size": utf8_bytes(text) + OVERHEAD,
+        "d0": scaled(F.log2(size + F.lit(1)) / 40),  # length
+        "d1": scaled((size / chars - 1) / 3),  # bytes a character: the script
+        "d2": scaled(chars / (gaps + 1) / 16),  # word length
+        "d3": scaled(F.log2(chars / lines + 1) / 20),  # line length
+        "d4": scaled(F.sqrt(digits / chars)),
+        "same": F.shiftrightunsigned(F.xxhash64(whole), 64 - HASH_BITS),
+        "own": F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), F.lit(2)), 64 - HASH_BITS),
+    }
+
+
+@dataclass
+class Tree:
+    """Nodes breadth first: what is below (value, hash) in the node's dimension goes to 2n + 1, the rest to 2n + 2."""
+
+    levels: int
+    dim: np.ndarray
+    value: np.ndarray
+    hash: np.ndarray
+    shard: dict[int, int] = field(default_factory=dict)  # of the leaves, and of nodes whose subtrees hold one shard
+    large: dict[int, list[int]] = field(default_factory=dict)  # shards of the parts of a large group
+
+    def nodes(self, dims: np.ndarray, same: np.ndarray, levels: int) -> np.ndarray:
+        """The node of each row after so many levels; a node that is not divided keeps its rows."""
+        node = np.zeros(len(same), dtype=np.int64)
+        for _ in range(levels):
+            d = self.dim[node]
+            v = dims[np.arange(len(node)), np.maximum(d, 0)]
+            upper = (v > self.value[node]) | ((v == self.value[node]) & (same >= self.hash[node]))
+            node = np.where(d < 0, node, 2 * node + 1 + upper)
+        return node
+
+    def shards(self, dims: np.ndarray, same: np.ndarray, own: np.ndarray) -> np.ndarray:
+        node = self.nodes(dims, same, self.levels)
+        out = np.fromiter((self.shard.get(n, 0) for n in node.tolist()), dtype=np.int32, count=len(node))
+        if self.large:
+            for i in np.flatnonzero(np.isin(same, np.fromiter(self.large, dtype=np.int64))):
+                parts = self.large[int(same[i])]
+                out[i] = parts[int(own[i]) % len(parts)]
+        return out
+
+
+def _route(spark: SparkSession, tree: Tree, levels: int | None = None) -> Column:
+    """The shard of each row of measures(); with levels the node reached after so many, -1 for rows of large groups."""
+    sent = spark.sparkContext.broadcast(tree)  # a few values for each shard
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for own, same, *dims in batches:
+            at, text, tree = np.column_stack([d.to_numpy() for d in dims]), same.to_numpy(), sent.value
+            if levels is None:
+                yield pd.Series(tree.shards(at, text, own.to_numpy()))
+            else:
+                node = tree.nodes(at, text, levels)
+                yield pd.Series(np.where(np.isin(text, np.fromiter(tree.large, dtype=np.int64)), -1, node).astype(np.int32))
+
+    return run("own", "same", *DIMS)
+
+
+def _deal_large(groups: list[tuple[int, int]], shards: int, total: int) -> tuple[dict[int, list[int]], list[float]]:
+    """The shards of the large groups (hash, bytes), and the bytes each shard has left for the tree."""
+    target = total / shards
+    items = []
+    for same, size in groups:
+        parts = 1 if size <= target else int(-(-size // (target / 2)))
+        items += [(size / parts, same, k) for k in range(parts)]
+    heap, of = [(0.0, s) for s in range(shards)], {same: {} for same, _ in groups}
+    for size, same, k in sorted(items, key=lambda x: (-x[0], x[1], x[2])):
+        load, s = heapq.heappop(heap)
+        of[same][k] = s
+        heapq.heappush(heap, (load + size, s))
+    load = [0.0] * shards
+    for x, s in heap:
+        load[s] = x
+    # the level to which the rest fills the shards
+    rest, level = total - sum(load), 0.0
+    for k, x in enumerate(ordered := sorted(load), 1):
+        level = (rest + sum(ordered[:k])) / k
+        if k == shards or level <= ordered[k]:
             break
-        at = now.withColumn("dim", _of_node({n: p["dim"] for n, p in plan.items()}, "int")).withColumns({"high": high, "low": low})
-        while active := {n: p for n, p in plan.items() if p["cut"] is None}:
-            _narrow(at, active, target * TOLERANCE)
-        # the lower side of node n is 2n+1, the upper 2n+2; positions below the cut go low
-        cut_high, cut_low = _of_node({n: p["cut"] >> 50 for n, p in plan.items()}), _of_node({n: p["cut"] & LOW for n, p in plan.items()})
-        upper = (F.col("high") > cut_high) | ((F.col("high") == cut_high) & (F.col("low") >= cut_low))
-        now = cut(at.withColumn("node", F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(upper, 2).otherwise(1))).drop("dim", "high", "low"), "level")
-        sides = {2 * n + 1: k // 2 for n, k in open_nodes.items()} | {2 * n + 2: k - k // 2 for n, k in open_nodes.items()}
-        open_nodes = sides
-    leaves = _order({**done, **open_nodes})
-    return now.withColumn("shard", _of_node(leaves, "int")).drop("node")
-
-
-def _order(leaves: dict[int, int]) -> dict[int, int]:
-    """Shards numbered as the tree has them from the lower to the upper side."""
-
-    def path(n: int) -> list[int]:
-        out = []
-        while n:
-            out.append((n - 1) % 2)
-            n = (n - 1) // 2
-        return out[::-1]
-
-    return {n: i for i, n in enumerate(sorted(leaves, key=path))}
-
-
-def _narrow(placed: DataFrame, active: dict[int, dict], tolerance: float) -> None:
-    """One step for all open nodes: sums of BINS parts of each one's interval, and the part that holds the median."""
-    state = placed.withColumns({
-        "lo_high": _of_node({n: p["lo"] >> 50 for n, p in active.items()}),
-        "lo_low": _of_node({n: p["lo"] & LOW for n, p in active.items()}),
-        "bits": _of_node({n: p["bits"] for n, p in active.items()}, "int"),
-    }).filter("bits is not null")
-    rest = F.col("bits") - BITS  # bits below this step's
-    # intervals start at multiples of their size, so a row is inside if the bits above are the start's
-    in_high, in_low = F.col("high") - F.col("lo_high"), F.col("low") - F.col("lo_low")
-    part = F.when(rest >= 50, F.expr("shiftright(high - lo_high, bits - 60)")).otherwise(F.expr("shiftright(low - lo_low, bits - 10)"))
-    inside = F.when(rest >= 50, (in_high >= 0) & (part < BINS)).otherwise((in_high == 0) & (in_low >= 0) & (part < BINS))
-    sums = state.filter(inside).groupBy("node", part.alias("part")).agg(F.sum("size").alias("size")).collect()
-    for n, p in active.items():
-        parts = sorted((r["part"], r["size"]) for r in sums if r["node"] == n)
-        step = p["bits"] - BITS
-        below, chosen = p["below"], None
-        for at, size in parts:
-            if below + size > p["want"]:
-                chosen = at
-                break
-            below += size
-        if chosen is None:  # all rows lie below
-            p["cut"] = p["lo"] + (BINS << step)
-            continue
-        inside_it = dict(parts)[chosen]
-        start = p["lo"] + (chosen << step)
-        short, over = p["want"] - below, below + inside_it - p["want"]
-        if min(short, over) <= tolerance or step == 0:
-            p["cut"] = start if short <= over else start + (1 << step)
-        else:
-            p |= {"below": below, "lo": start, "bits": step}
+    return {same: [parts[k] for k in range(len(parts))] for same, parts in of.items()}, [max(0.0, level - x) for x in load]
+
+
+def fit(rows: DataFrame, shards: int = SHARDS) -> Tree:
+    """rows: measures(), written."""
+    spark, total = rows.sparkSession, rows.agg(F.sum("size")).first()[0] or 0
+    levels = max(0, int(np.ceil(np.log2(shards))))
+    inner = 2**levels - 1
+    tree = Tree(levels, np.full(2 * inner + 1, -1), np.zeros(2 * inner + 1, dtype=np.int64), np.zeros(2 * inner + 1, dtype=np.int64), {0: 0})
+    if shards == 1 or not total:
+        return tree
+    target = total / shards
+    found = rows.groupBy("same").agg(F.sum("size").alias("size")).filter(F.col("size") > LARGE * target).collect()  # at most shards / LARGE
+    tree.large, lacks = _deal_large([(r["same"], r["size"]) for r in found], shards, total)
+    spans, tree.shard = {0: (0, shards)}, {}  # shards of each open node
+    for level in range(levels):
+        tree.shard |= {n: a for n, (a, b) in spans.items() if b - a == 1}
+        spans = {n: s for n, s in spans.items() if s[1] - s[0] > 1}
+        here = rows.withColumn("node", _route(spark, tree, level)).filter(F.col("node").isin(*spans)).withColumn("at", F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("value")) for i, d in enumerate(DIMS)])))
+        sums = here.groupBy("node", "at.dim", "at.value").agg(F.sum("size").alias("size")).toPandas()
+        plan = {n: p for n, (a, b) in spans.items() if (p := _widest(sums[sums["node"] == n], sum(lacks[a : (a + b) // 2]) / max(sum(lacks[a:b]), 1e-9)))}
+        _refine(rows.withColumn("node", _route(spark, tree, level)), plan, target * TOLERANCE)
+        for n, p in plan.items():
+            tree.dim[n], tree.value[n], tree.hash[n] = p["dim"], p["value"], p["cut"]
+        spans = {k: s for n, (a, b) in spans.items() for k, s in ([(2 * n + 1, (a, (a + b) // 2)), (2 * n + 2, ((a + b) // 2, b))] if n in plan else [(n, (a, a + 1))])}
+    tree.shard |= {n: a for n, (a, _) in spans.items()}
+    return tree
+
+
+def _widest(sums: pd.DataFrame, share: float) -> dict | None:
+    """The widest dimension of a node, the value where its lower side's share ends, and what that value's rows must give."""
+    best = None
+    for dim, part in sums.groupby("dim", sort=True):
+        coarse = np.bincount(part["value"] * COARSE // VALUES, part["size"], COARSE)
+        p = coarse[coarse > 0] / coarse.sum()
+        width = float(-(p * np.log(p)).sum())
+        if best is None or width > best[0] + 1e-9:
+            best = (width, int(dim), part.sort_values("value"))
+    if best is None:
+        return None
+    part = best[2]
+    reach = part["size"].cumsum().to_numpy(float)
+    want = reach[-1] * share
+    k = min(int(np.searchsorted(reach, want, side="right")), len(part) - 1)
+    below = reach[k - 1] if k else 0.0
+    return {"dim": best[1], "value": int(part["value"].iloc[k]), "want": want - below, "lo": 0, "bits": HASH_BITS, "cut": None}
+
+
+def _refine(placed: DataFrame, plan: dict[int, dict], tolerance: float) -> None:
+    """Sets the cut of each node: the hash, within its value, that comes nearest to what is wanted. A part of one hash is
+    a group of equal texts, which no cut divides."""
+    while active := {n: p for n, p in plan.items() if p["cut"] is None}:
+        for p in active.values():
+            p["step"] = max(p["bits"] - STEP, 0)
+        of = lambda get: F.element_at(F.create_map(*[F.lit(x) for n, p in active.items() for x in (n, get(p))]), F.col("node"))  # noqa: E731, B023
+        here = placed.filter(F.col("node").isin(*active)).withColumns({"value": F.element_at(F.array(*DIMS), of(lambda p: p["dim"] + 1)), "step": of(lambda p: p["step"])})
+        inside = here.filter(F.col("value") == of(lambda p: p["value"])).withColumn("off", F.col("same") - of(lambda p: p["lo"]).cast("long"))
+        inside = inside.filter((F.col("off") >= 0) & (F.expr("shiftright(off, step)") < of(lambda p: 1 << (p["bits"] - p["step"]))))
+        sums = inside.groupBy("node", F.expr("shiftright(off, step)").alias("part")).agg(F.sum("size").alias("size"), F.min("same").alias("least"), F.max("same").alias("most")).collect()
+        by_node: dict[int, list] = {n: [] for n in active}
+        for r in sums:
+            by_node[r["node"]].append((r["part"], r["size"], r["least"], r["most"]))
+        for n, p in active.items():
+            below = 0.0
+            for part, size, least, most in sorted(by_node[n]):
+                if below + size > p["want"]:
+                    short, over = p["want"] - below, below + size - p["want"]
+                    if min(short, over) <= tolerance or least == most:
+                        p["cut"] = least if short <= over else most + 1
+                    else:
+                        p |= {"want": short, "lo": p["lo"] + (part << p["step"]), "bits": p["step"]}
+                    break
+                below += size
+            else:  # all rows of the value lie below
+                p["cut"] = p["lo"] + (1 << p["bits"])
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, text_crc32 and measures() of docs (doc_id, text)."""
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    return docs.select("doc_id", crc, *[c.alias(n) for n, c in measures(F.col("text"), F.col("doc_id")).items()])
 
 
 def numbered(rows: DataFrame, parts: int) -> DataFrame:
@@ -141,17 +221,46 @@ def numbered(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of each row of docs (doc_id, text, lang, source).
+    """doc_id, size, text_crc32, shard and slot of each row of docs (doc_id, text).
 
-    Shards are near equal in bytes: the UTF-8 text (null: none) and OVERHEAD. Equal texts share a shard unless a cut
-    falls inside their group. Null ids, languages and sources are values like others; repeated rows are dealt one by
-    one, and rows that agree in text and id stay together. With fewer rows than shards some shards stay empty.
+    Shards are near equal in bytes: the UTF-8 text (null: none) and OVERHEAD. Equal texts, ties and repeated rows share
+    a shard, unless their group is larger than a shard: then rows of one doc_id share it. Null and empty texts are one
+    group. Very long texts are measured whole. Null ids are an id like others. Of few texts some shards stay empty; an
+    empty table gives no rows. Other columns are not read, so clashing names do no harm.
     """
     rows = cut(measured(docs), "measured")
     total = rows.count()
-    dealt = cut(grow(rows, shards), "dealt") if total else rows.withColumn("shard", F.lit(0))
+    dealt = cut(rows.withColumn("shard", _route(docs.sparkSession, fit(rows, shards))).select("doc_id", "size", "text_crc32", "own", "shard"), "dealt")
     return numbered(dealt, max(1, -(-total // (shards * SLOT_ROWS)))).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
+def with_shard(docs: DataFrame, shards: int = SHARDS, name: str = "shard") -> DataFrame:
+    """docs, all rows and columns as they are, with each row's shard in a new last column.
+
+    The column is called name, with as many underscores as a clash with docs' own columns takes. No row is joined:
+    each walks the fitted tree.
+    """
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    own = {n: f"__{n}" for n in (*DIMS, "same", "own")}
+    while {x.lower() for x in own.values()} & {c.lower() for c in docs.columns}:
+        own = {n: f"_{x}" for n, x in own.items()}
+    tree = fit(cut(measured(docs), "measured"), shards)
+    marked = docs.select("*", *[c.alias(own[n]) for n, c in measures(F.col("text"), F.col("doc_id")).items() if n in own])
+    routed = _route_on(docs.sparkSession, tree, own)
+    return marked.withColumn(name, routed).select(*docs.columns, name)
+
+
+def _route_on(spark: SparkSession, tree: Tree, names: dict[str, str]) -> Column:
+    sent = spark.sparkContext.broadcast(tree)
+
+    @F.pandas_udf("int")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for own, same, *dims in batches:
+            yield pd.Series(sent.value.shards(np.column_stack([d.to_numpy() for d in dims]), same.to_numpy(), own.to_numpy()))
+
+    return run(*[F.col(names[n]) for n in ("own", "same", *DIMS)])
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
