@@ -1,10 +1,11 @@
 """Line deduplication on DataFrame functions alone: repeated lines stay in one document, told by keep bitmaps.
 
-Lines are known by 128-bit hashes of their keys; no text is shuffled to find the repeated ones. The hashes of each
-slice of the documents are counted first (so that a key that every document holds is dealt to many tasks), then
-range-partitioned, sorted by hash and, within a hash, by document from the last to the first: of a sorted stream the
-first row of a hash names the document that keeps its lines, and the rows' sum is the number of documents.
-The positions of lines to drop return to their documents as a run-length compressed keep bitmap.
+Lines are known by 128-bit hashes of their keys; no text is shuffled to find the repeated ones. All occurrences of lines
+long enough are range-partitioned by hash and document and sorted, within a hash, by document and position: one sorted
+stream, written once. In it the first occurrence of a hash in a document stands for the document, so counting those
+(first in each part of the stream, so that a key which every document holds is no load) gives the number of documents and
+the largest. The other documents' occurrences are streamed out of the table again, keys of very many documents met by a
+broadcast, and the positions of lines to drop return to their documents as a run-length compressed keep bitmap.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, ascii_strip, table
+from .common import ascii_lower, ascii_strip, cut, skew_join, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Slices of the documents in which a hash is counted before its slices meet.
-SLICES = 128
 
 
 def lines_of(text: Column) -> Column:
@@ -30,20 +29,27 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.filter(F.length("key") >= min_chars).select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
-def repeated(found: DataFrame, min_docs: int) -> DataFrame:
-    """h1, h2 and last, the largest doc_id, of the hashes found in at least min_docs documents (rows without doc_id aside)."""
-    sliced = found.filter("doc_id is not null").select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).alias("slice"), "doc_id")
-    documents = sliced.repartition("h1", "h2", "slice").groupBy("h1", "h2", "slice", "doc_id").agg(F.lit(1).alias("one"))
-    counted = documents.groupBy("h1", "h2", "slice").agg(F.count("doc_id").alias("docs"), F.max("doc_id").alias("last"))
-    stream = Window.partitionBy("h1", "h2").orderBy(F.col("last").desc())
-    first = counted.repartitionByRange("h1", "h2").select("h1", "h2", "last", F.row_number().over(stream).alias("at"), F.sum("docs").over(stream.rowsBetween(0, Window.unboundedFollowing)).alias("docs"))
-    return first.filter((F.col("at") == 1) & (F.col("docs") >= min_docs)).select("h1", "h2", "last")
+def stream(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """occurrences() range-partitioned by hash and document, sorted by hash, document and position, with first: whether
+    the row is the first of its hash in its document. Rows that repeat a doc_id are one document here."""
+    key = ["h1", "h2", "doc_id"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("pos", "row"))
+    found = occurrences(docs, min_chars).repartitionByRange(*key).withColumn("first", nth == 1)
+    return cut(found, "lines")
+
+
+def repeated(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """lines: stream(). h1, h2, rows (the number of documents) and last, the largest doc_id, of the hashes found in at
+    least min_docs documents (rows without doc_id aside)."""
+    named = lines.filter(F.col("first") & F.col("doc_id").isNotNull())
+    return named.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("last")).filter(F.col("rows") >= min_docs)
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, row and dropped (sorted line numbers from 1), for rows that lose lines. Repeated rows have one entry."""
-    found = occurrences(docs, min_chars)
-    lost = found.join(repeated(found, min_docs), ["h1", "h2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("last")))
+    lines = stream(docs, min_chars)
+    keys = cut(repeated(lines, min_docs), "keys")
+    lost = skew_join(lines.drop("first"), keys, ["h1", "h2"]).filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("last")))
     return lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
@@ -57,8 +63,10 @@ def keep_runs(dropped: Column, lines: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs (doc_id, text) with keep (runs of kept lines), n_lines, n_dropped and kept (the text that stays).
 
-    A null or empty text is one empty line. Documents are told apart by doc_id: rows that repeat an id count once and
-    are treated alike; rows without an id count for no key and lose all repeated lines. An empty table gives no rows.
+    A null or empty text is one empty line; texts are read whole, however long. Documents are told apart by doc_id: rows
+    that repeat an id count once and are treated alike; rows without an id count for no key and lose all repeated lines.
+    Of documents that tie in a key the largest doc_id keeps it. An empty table gives no rows. Other columns are not read,
+    so clashing names do no harm.
     """
     plain = docs.select("doc_id", "text")
     marks = keep_bitmaps(plain, min_chars, min_docs)
