@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import DATA, assert_same, connect
 from tidewater.llm import decontaminate, linededup, mixing, queries, secrets, simhash, toxicity
+from tidewater.llm.common import skew_join
 from tidewater.llm.components import components
 
 
@@ -180,7 +181,9 @@ def test_simhash_odd_cases(odd, odd_rows, none):
     assert got == want
     assert simhash.near_duplicates(none).count() == 0
     kept = [r["doc_id"] for r in simhash.keep_first(odd).collect()]
-    assert kept.count(None) == 2 and kept.count(7) == 0 and kept.count(1) == 1 and simhash.keep_first(odd).columns == odd.columns
+    assert kept.count(None) == 0 and kept.count(7) == 0 and kept.count(1) == 1 and simhash.keep_first(odd).columns == odd.columns
+    nameless = odd.filter("doc_id is null")
+    assert simhash.keep_first(nameless.unionByName(nameless)).count() == 2
 
 
 @pytest.mark.parametrize("hot", [1, 256])
@@ -322,11 +325,49 @@ def test_mixing_hits_targets_and_reruns_agree(spark, monkeypatch):
     a = run()
     pd.testing.assert_frame_equal(a, run())
     g = a.assign(taken=a["times"] * a["size"]).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), cap=("source_size", "first"))
-    assert (g["taken"] <= g["target"] + 1e-6).all() and (g["taken"] >= 0.9 * g["target"] - 20).all() and (g["target"] <= 3 * g["cap"] + 1e-6).all()
+    assert (g["taken"] <= g["target"] + 1e-6).all() and (g["taken"] >= 0.9 * g["target"] - 20).all() and g["taken"].sum() <= a["size"].sum() and (g["target"] <= 3 * g["cap"] + 1e-6).all()
     assert g["target"].sum() == pytest.approx(a["size"].sum())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     pd.testing.assert_frame_equal(a, run())
 
 
+def test_the_cut_takes_a_prefix_of_the_global_order(spark, monkeypatch):
+    """Brute force: all queued documents sorted by finish time, taken until the total is reached, less what lies beyond a target."""
+    monkeypatch.setattr(mixing, "FILLS", 0)
+    got = mixing.mix(spark.read.parquet(f"{DATA}/documents.parquet")).toPandas()
+    entries = []
+    for r in got.itertuples():
+        turn = hashlib.md5(str(r.doc_id).encode()).hexdigest()
+        entries += [(r.finish + e * r.source_size / r.target, turn, "s" + r.source, r.doc_id, r.size) for e in range(3)]
+    total, taken = 0, {}
+    for finish, _, _, doc, size in sorted(entries):
+        total += size
+        if total > got["size"].sum():
+            break
+        if finish <= 1:
+            taken[doc] = taken.get(doc, 0) + 1
+    assert finish > 1
+    assert {r.doc_id: r.times for r in got.itertuples() if r.times} == taken
+
+
+def test_mixed_repeats_rows_as_counted(spark):
+    rows = [(1, "a b c", "x", 7), (1, "a b c", "x", 8), (2, "d e", "x", 9), (None, "f g h", "y", 1), (None, "f g h", "y", 2), (None, "i", "y", 3), (3, None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, times int")
+    times = mixing.mix(docs).groupBy("doc_id", "size").agg(F.sum("times").alias("n")).collect()
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = [r for r in out.collect()]
+    for r in times:
+        assert sum((x["doc_id"], len((x["text"] or "").split())) == (r["doc_id"], r["size"]) for x in got) == r["n"]
+    assert set(map(tuple, got)) <= set(rows)
+
+
+def test_hot_lines_are_joined_apart(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = sorted(map(tuple, linededup.dedup_lines(docs).select("doc_id", "n_dropped", "kept").collect()))
+    monkeypatch.setattr(linededup, "skew_join", lambda a, b, keys: skew_join(a, b, keys, hot_rows=6))
+    assert sorted(map(tuple, linededup.dedup_lines(docs).select("doc_id", "n_dropped", "kept").collect())) == want
+
+
 def test_connect_has_all_tables():
     assert connect().execute("select count(*) from documents").fetchone()[0] > 0

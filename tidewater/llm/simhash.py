@@ -256,10 +256,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: of each component the document with the smallest doc_id, once, with all columns.
+    """The pipeline's stage: of each component one document with all its columns, that of the smallest doc_id.
 
-    A doc_id stays if any of its rows names its component; of rows that repeat an id one stays. Rows without an id
-    can be neither named nor told apart and all stay.
+    Rows are told apart by doc_id and text: of rows that repeat an id with different texts, the least by the text's hash
+    stands for the id, and rows of one id and text stay once. Rows without an id come last: one stays only if no row of
+    its component has an id.
     """
-    kept = near_copies(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "node")
+    best = _copies(docs).groupBy("root").agg(F.min(rank).alias("best"))
+    kept = best.select("best.late", F.coalesce("best.doc_id", F.lit(0)).alias("id"), "best.node").withColumn("at", F.struct("late", "id", "node")).select("at")
+    at = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    packed = docs.select(F.struct("*").alias("doc"), at.alias("at"))
+    return packed.join(kept, "at", "left_semi").dropDuplicates(["at"]).select("doc.*")
