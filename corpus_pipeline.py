@@ -7,15 +7,13 @@ mixed to their target weights; what the mix takes is dealt to shards.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, mixing, sharding, simhash, toxicity
-from tidewater.llm.common import fresh_path, table, utf8_bytes, word_count
+from tidewater.llm.common import fresh_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(F.col("predicted") == 0).select(docs.columns)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +25,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 3 times). Rows of one doc_id and size share the largest count."""
-    taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("times").alias("__times")).filter("__times > 0")
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    met = sized.join(taken, sized["doc_id"].eqNullSafe(taken["doc_id"]) & (sized["__size"] == taken["size"]))
-    return met.select(*[sized[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__time")).drop("__time")
+    return mixing.mixed(docs)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with shard. Rows equal in id and text share a shard, so repeats of the mix lie together."""
-    dealt = sharding.shard(docs).select("doc_id", F.col("text_crc32").alias("__crc"), F.col("size").alias("__size"), "shard").distinct()
-    sized = docs.withColumns({"__own_crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary")), "__own_size": utf8_bytes(F.col("text")) + sharding.OVERHEAD})
-    met = sized.join(dealt, sized["doc_id"].eqNullSafe(dealt["doc_id"]) & (F.col("__own_crc") == F.col("__crc")) & (F.col("__own_size") == F.col("__size")))
-    return met.select(*[sized[c] for c in docs.columns], dealt["shard"])
+    """The documents with shard; with shard_ (and so on) where they have such a column. Equal texts share a shard."""
+    return sharding.with_shard(docs)
 
 
 STAGES = [
