@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, skew_join, table
 from .components import components
 
 SEED = 42
@@ -103,11 +103,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Columns beside the two named are not read, so clashing names do no harm.
     """
     marked = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(text, shingle).alias("fp")), "fingerprints")
-    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    prints = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "prints")
     roots = components(links(prints.select("fp"), hot_bucket))
-    rooted = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = cut(prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")), "rooted")
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    named = skew_join(rooted, cut(names, "names"), ["root"]).select("fp", "component_id", F.col("copies").alias("rows"))
+    return skew_join(marked, cut(named, "named"), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,8 @@ COPY_SHINGLE = 5
 #: Shingles in at least COMMON_COUNT texts of a drawn sixteenth are looked up last, at most COMMON of them. This and the
 #: draw set an order, which decides how fast copies are found and never which.
 COMMON, COMMON_COUNT, COMMON_SHARE = 250_000, 4, 16
+#: Texts that hold a shingle, as the draw has it, from which they are dealt to SALTS parts. The plan alone depends on it.
+HOT_TOKEN, SALTS = 10_000, 64
 
 
 def shingle_hashes(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
@@ -141,59 +144,56 @@ def _shingles_column(text: str) -> Column:
     return run(F.col(text))
 
 
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, ascending, and their ranks from 1, the rarest first."""
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common shingles, ascending, their ranks from 1, the rarest first, and whether so many texts hold one that it is salted."""
     drawn = texts.filter(F.pmod("node", F.lit(COMMON_SHARE)) == 0).select("node", F.explode(_shingles_column("text")).alias("token"))
     counts = drawn.groupBy("token").agg(F.count_distinct("node").alias("n")).filter(F.col("n") >= COMMON_COUNT).orderBy(F.desc("n"), "token").limit(COMMON)
-    found = counts.select("token").toArrow().column(0).to_numpy()
-    order = np.argsort(found)
-    return found[order], len(found) - order
+    found = counts.toArrow()
+    tokens, n = found.column("token").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], len(tokens) - order, n[order] * COMMON_SHARE >= HOT_TOKEN
 
 
-def _prefixes(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(token, node, n): of each text's n shingles the n // 5 + 1 first, uncommon ones by hash, then common ones."""
-
-    def rows(tokens: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pd.DataFrame:
-        each = [len(t) for t in tokens]
-        return pd.DataFrame({"token": np.concatenate(tokens), "node": np.repeat(np.array(nodes, dtype=np.int64), each), "n": np.repeat(sizes, each)})
+def _prefixes(texts: DataFrame, common: np.ndarray, rank: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(token, salt, node, n, at): of each text's n shingles the n // 5 + 1 first, with their places from 0; uncommon ones
+    by hash, then common ones. salt is 0, or a part of a hot shingle's texts."""
+    names = ["token", "salt", "node", "n", "at"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()  # copies in one task are looked up once
         for batch in batches:
-            tokens, nodes, sizes, held = [], [], [], 0
+            rows, held = [], 0
             for node, text in zip(batch["node"].tolist(), batch["text"], strict=True):
                 if node in seen:
                     continue
                 seen.add(node)
                 own = shingle_hashes(text)
-                late = np.zeros(len(own), dtype=np.int64)
+                late, salted = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    late = np.where(common[at] == own, rank[at], 0)
-                first = own[np.argsort(late, kind="stable")[: len(own) // 5 + 1]]
-                tokens.append(first)
-                nodes.append(node)
-                sizes.append(len(own))
+                    known = common[at] == own
+                    late, salted = np.where(known, rank[at], 0), known & hot[at]
+                first = np.argsort(late, kind="stable")[: len(own) // 5 + 1]
+                salt = np.where(salted[first], 1 + node % SALTS, 0)
+                rows.append((own[first], salt, np.full(len(first), node), np.full(len(first), len(own)), np.arange(len(first))))
                 held += len(first)
                 if held > _CHUNK:
-                    yield rows(tokens, nodes, sizes)
-                    tokens, nodes, sizes, held = [], [], [], 0
-            if tokens:
-                yield rows(tokens, nodes, sizes)
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*rows, strict=True)), strict=True)))
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*rows, strict=True)), strict=True)))
 
-    return texts.mapInPandas(run, "token long, node long, n long")
+    return texts.mapInPandas(run, "token long, salt int, node long, n long, at long")
 
 
-def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """met (u, v, nu, nv), a row for each first shingle that u and v share: pairs of a Jaccard similarity of at least 4 / 5.
+def _possible(n: Column, at: Column, m: Column, by: Column) -> Column:
+    """Whether texts of n and m shingles, whose first common shingle is at these places, can share 4 / 9 of n + m."""
+    return 9 * F.least(n - at, m - by) >= 4 * (n + m)
 
-    What two texts share beyond the first shingles of both lies beyond those of u or of v, so the rows of a pair and the
-    larger rest of the two bound what they share. Only pairs whose bound allows 4 / 5 have their shingles compared.
-    """
-    rest = lambda n: n - F.floor(n / 5) - 1
-    rows = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.greatest(rest(F.col("nu")), rest(F.col("nv"))).alias("rest"), (F.col("nu") + F.col("nv")).alias("both"))
-    bound = rows.groupBy("u", "v", "rest", "both").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = cut(bound.filter(9 * (F.col("shared") + F.col("rest")) >= 4 * F.col("both")).select("u", "v"), "pairs")
+
+def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """met (u, v), repeats allowed: the pairs of a Jaccard similarity of at least 4 / 5, by their whole sets of shingles."""
+    pairs = cut(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     own = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = cut(own.select("node", _shingles_column("text").alias("shingles")), "sets")
@@ -202,38 +202,53 @@ def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(shared.filter(9 * F.col("shared") >= 4 * F.col("both")).select("u", "v"), "verified")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """rows of _prefixes with three texts of each shingle that several hold: the least and the greatest node, and the
+    text with the fewest shingles before it, to which most others are alike."""
+    one = F.struct("node", "n", "at")
+    ends = {"least": F.min(one), "most": F.max(one), "pure": F.min(F.struct((F.col("at") / F.col("n")).alias("share"), "node", "n", "at"))}
+    by_part = Window.partitionBy("token", "salt")
+    parts = rows.repartition("token", "salt").dropDuplicates(["token", "salt", "node"]).withColumns({k: f.over(by_part) for k, f in ends.items()})
+    found = cut(parts.filter((F.col("salt") > 0) | (F.col("least.node") != F.col("most.node"))), "met")
+    # of shingles in at least HOT_TOKEN texts, so at most the rows / HOT_TOKEN
+    whole = found.filter("salt > 0").groupBy("token").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("pure").alias("pure"))
+    hot = found.filter("salt > 0").drop(*ends).join(F.broadcast(whole), "token").filter(F.col("least.node") != F.col("most.node"))
+    return found.filter("salt = 0").unionByName(hot)
+
+
 def similar_links(texts: DataFrame, known: DataFrame) -> DataFrame:
     """texts (node long, text), one text per node, repeats allowed; known edges (u, v). Returns known and further edges,
     which together connect all texts of a Jaccard similarity of at least 0.8, and none by less.
 
     Two such sets share at least 4 / 5 of either, so under any common order of shingles they share one of the n // 5 + 1
-    first of each: no pair is missed, at any size. Shingles of common passages come last in the order, so texts that
-    share no more than a passage do not meet. Texts that meet under a shingle are first compared with the least and the
-    greatest of them; then all pairs that meet and are not yet connected are compared, so a group of near copies
-    is not expanded into pairs unless those comparisons leave it in pieces. Each candidate's exact similarity decides.
+    first of each, and what follows the first one they share is enough for 4 / 5: no pair is missed, at any size.
+    Shingles of common passages come last in the order, so texts that share no more than a passage do not meet, or meet
+    too late. Texts that meet under a shingle are first compared with three of them; then all pairs that meet and are not
+    yet connected are compared, so a group of near copies is not expanded into pairs unless those comparisons leave it
+    in pieces. Each candidate's exact similarity decides.
     """
-    same = lambda a, b: (4 * a <= 5 * b) & (4 * b <= 5 * a)  # noqa: E731  sizes that allow 0.8
-    by_token = Window.partitionBy("token")
-    rows = _prefixes(texts, *_common(texts)).repartition("token").dropDuplicates(["token", "node"])
-    ends = {k: f(F.struct("node", "n")).over(by_token) for k, f in (("least", F.min), ("most", F.max))}
-    met = cut(rows.withColumns(ends).filter("least.node <> most.node"), "met")
-    stars = [met.filter((F.col("node") != F.col(f"{k}.node")) & same(F.col("n"), F.col(f"{k}.n"))).select(F.col("node").alias("u"), F.col(f"{k}.node").alias("v"), F.col("n").alias("nu"), F.col(f"{k}.n").alias("nv")) for k in ends]
-    linked = known.unionByName(_verified(stars[0].unionByName(stars[1]), texts))
-    here = met.select("token", "node", "n").join(components(linked).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = here.withColumns({"lo": F.min("root").over(by_token), "hi": F.max("root").over(by_token)}).filter("lo <> hi").drop("lo", "hi")
-    largest = F.max(F.struct("k", "root")).over(by_token)["root"]
-    left = cut(apart.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token", "root"))).withColumn("main", largest), "apart")
+    met = cut(_met(_prefixes(texts, *_common(texts))), "ends")
+    centre = F.explode(F.array(*[F.struct(f"{k}.node", f"{k}.n", f"{k}.at") for k in ("least", "most", "pure")]))
+    stars = met.select("node", "n", "at", centre.alias("c")).filter((F.col("node") != F.col("c.node")) & _possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at")))
+    linked = known.unionByName(_verified(stars.select(F.col("node").alias("u"), F.col("c.node").alias("v")), texts))
+    roots = components(linked).withColumnRenamed("u", "node")
+    here = cut(met.select("token", "salt", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "here")
+    # of shingles whose texts are not all connected: the largest piece under each is main
+    pieces = here.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+    parted = pieces.groupBy("token").agg(F.sum("k").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("k", "root"))["root"].alias("main"))
+    left = cut(skew_join(here, cut(parted.filter("lo <> hi").drop("lo", "hi"), "parted"), ["token"], hot_rows=HOT_TOKEN), "apart")
     a, b = left.filter("root <> main").alias("a"), left.alias("b")
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    crossed = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & same(F.col("a.n"), F.col("b.n")))
-    return linked.unionByName(_verified(crossed.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv")), texts))
+    near = _possible(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"))
+    crossed = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & near)
+    return linked.unionByName(_verified(crossed.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), texts))
 
 
 def _copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, node (a hash of the text), root and component_id of each row."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     marked = cut(texts.select("doc_id", "node", fingerprint_column("text").alias("fp")), "marked")
-    prints = cut(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first")), "prints")
+    prints = cut(marked.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "prints")
     # nodes of one fp are one for links()
     narrow = prints.groupBy("fp").agg(F.min("node").alias("least"))
     same = prints.join(narrow, "fp").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
@@ -241,9 +256,10 @@ def _copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     close = links(narrow.select("fp")).join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
     known = cut(same.unionByName(close), "known")
     roots = components(similar_links(texts.select("node", "text"), known)).withColumnRenamed("u", "node")
-    rooted = prints.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root")
-    return marked.join(named.select("node", "root", "component_id"), "node").select("doc_id", "node", "root", "component_id")
+    rooted = cut(prints.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")), "rooted")
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    named = skew_join(rooted, cut(names, "names"), ["root"]).select("node", "root", "component_id", F.col("copies").alias("rows"))
+    return skew_join(marked, cut(named, "named"), ["node"]).select("doc_id", "node", "root", "component_id")
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
