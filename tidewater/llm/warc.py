@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, table
+from .common import cut, fresh_path, skew_join, table
 
 BLOCK = 1 << 16
 #: Payloads of fewer bytes are stored in full, however often they repeat.
@@ -175,14 +175,14 @@ COLUMNS = ["page", "payload_bytes", "payload_digest", "record_type", "refers"]
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """pages (page_id, url, html) as page_id, url, payload and refers_to: of equal payloads the largest page_id is stored.
 
-    Digests alone are shuffled to find equal payloads, and met again by a key no group shares, so a payload that a third
-    of all pages repeat costs one row of a sum and one small row for each page.
+    Digests alone are shuffled to find equal payloads, those of very many pages met apart by a broadcast, and pages meet
+    what they repeat by their own id, so a payload that a third of all pages repeat loads no task.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", payload.alias("payload"))
-    digests = keyed.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("size"))
-    best = digests.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1 and best is not null").select("digest", "best")
-    again = digests.join(best, "digest").filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("best"))).select(F.col("page_id").alias("id"), "digest", "best").distinct()
+    digests = cut(keyed.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("size")), "digests")
+    best = digests.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 and best is not null")
+    again = skew_join(digests, cut(best, "repeated"), ["digest"]).filter(F.col("page_id").isNull() | (F.col("page_id") != F.col("best"))).select(F.col("page_id").alias("id"), "digest", "best").distinct()
     mine = keyed.withColumn("digest", F.sha1("payload"))
     met = mine.join(again, mine["page_id"].eqNullSafe(again["id"]) & (mine["digest"] == again["digest"]), "left")
     return met.select("page_id", "url", "payload", F.col("best").alias("refers_to"))
