@@ -75,15 +75,56 @@ def test_subject_ranks_use_their_own_subject_only(spark):
 
 def test_spectrum_finds_a_tone_and_beats():
     t = np.arange(0, 60, 1 / 64)
-    x = np.sin(2 * np.pi * 1.2 * t)
-    out = signal.signal_features(x, 64.0, "bvp_wrist")
-    assert out["bvp_wrist_dom_hz"] == pytest.approx(1.2, abs=0.13)
-    assert out["bvp_wrist_rate"] == pytest.approx(72, abs=1)
-    f, p = signal.welch(x, 64.0)
+    x = np.array([np.sin(2 * np.pi * 1.2 * t), np.sin(2 * np.pi * 2.0 * t) + 5.0, np.full(len(t), 3.0)])
+    one, two, flat = signal.channel_table(x, 64.0, "ppg")
+    assert one["dominant_hz"] == pytest.approx(1.2, abs=0.13) and two["dominant_hz"] == pytest.approx(2.0, abs=0.13)
+    assert one["pulse_rate_median"] == pytest.approx(72, abs=1.5) and one["interval_valid_fraction"] > 0.95
+    assert one["power_0.5_8"] > 0.99 and one["interval_rmssd"] < 0.03 and "pulse_rate_median" not in flat
+    f, p = signal.spectra(x[:1], 64.0)
     assert p.sum() * (f[1] - f[0]) == pytest.approx(0.5, rel=0.02)
-    passed = signal.sos_filter(signal.butter_bandpass(0.5, 8.0, 64.0), np.ones(4000))
-    assert abs(passed[-1]) < 1e-3
-    assert signal.signal_features(np.array([np.nan]), 4.0, "eda_x") == {}
+    passed = signal.filtered(np.ones((1, 4000)), signal.band_pass(0.5, 8.0, 64.0))
+    assert abs(passed[0, -1]) < 1e-3
+    middle = np.sin(2 * np.pi * 2.0 * np.arange(0, 40, 1 / 64))
+    assert np.abs(signal.filtered(middle[None], signal.band_pass(0.5, 8.0, 64.0))[0, -640:]).max() == pytest.approx(1.0, abs=0.01)
+    for edge in (0.5, 8.0):  # half of the power at the edges
+        wave = np.sin(2 * np.pi * edge * np.arange(0, 80, 1 / 64))
+        assert np.abs(signal.filtered(wave[None], signal.band_pass(0.5, 8.0, 64.0))[0, -1280:]).max() == pytest.approx(np.sqrt(0.5), abs=0.01)
+
+
+def test_windows_without_features():
+    bad = np.ones((2, 64))
+    bad[0, 5] = np.nan
+    none, some = signal.channel_table(bad, 4.0, "eda")
+    assert none == {} and some["spec_entropy"] == 0.0 and some["positive_diff_mean"] == 0.0 and "dominant_hz" not in some
+    assert signal.channel_table(np.ones((1, 15)), 4.0, "eda") == [{}] and signal.channel_table(np.ones((1, 99)), 4.0, "temp") == [{}]
+
+
+def test_maxima_by_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        x = np.round(rng.normal(size=80), 1)
+        tops = []
+        for i in range(1, 79):
+            j = i
+            while j < 79 and x[j + 1] == x[i]:
+                j += 1
+            if x[i - 1] < x[i] and j < 79 and x[j + 1] < x[i]:
+                tops.append((i + j) // 2)
+        kept = []
+        for p in sorted(tops, key=lambda p: (-x[p], -p)):
+            if all(abs(p - q) >= 4 for q in kept):
+                kept.append(p)
+        want = []
+        for p in sorted(kept):
+            lows = []
+            for step in (-1, 1):
+                q, low = p, x[p]
+                while 0 <= q < 80 and x[q] <= x[p]:
+                    low, q = min(low, x[q]), q + step
+                lows.append(low)
+            if x[p] - max(lows) >= 0.5:
+                want.append(p)
+        assert signal.maxima(x, 4, 0.5).tolist() == want
 
 
 def test_text_series(spark, tmp_path):

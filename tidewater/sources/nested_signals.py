@@ -32,14 +32,19 @@ def load_nested(data: bytes) -> dict:
 
 
 def sample_rows(client: str, nested: dict, wrist_only: bool = False) -> Iterator[tuple]:
-    """(client_id, device, channel, fs, idx, v) of each sample; several axes are one array."""
-    for device, channels in nested["signal"].items():
+    """(client_id, device, channel, fs, idx, v) of each sample of the known channels; several axes are one array.
+
+    A chest temperature named TEMP stands for Temp where there is no Temp.
+    """
+    for (device, channel), fs in RATES.items():
         if wrist_only and device != "wrist":
             continue
-        for channel, values in channels.items():
+        own = nested["signal"].get(device, {})
+        values = own.get(channel, own.get("TEMP") if channel == "Temp" else None)
+        if values is not None:
             a = np.asarray(values, dtype=float)
             for i, row in enumerate(a.reshape(len(a), -1)):
-                yield client, device, channel, RATES[device, channel], i, row.tolist()
+                yield client, device, channel, fs, i, row.tolist()
 
 
 SAMPLES = "client_id string, device string, channel string, fs double, idx long, v array<double>"
