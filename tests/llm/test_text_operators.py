@@ -112,24 +112,74 @@ def test_secret_patterns(text):
     assert secrets.base_spans(text) == _brute_spans(text)
 
 
-def test_random_keys_are_found_and_words_are_not():
+def _random_texts(count=200):
     import base64
     import random
 
-    rng, found = random.Random(2), 0
-    for _ in range(200):
+    rng, out = random.Random(2), []
+    for _ in range(count):
         raw = rng.randbytes(30)
-        code = rng.choice([base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), raw.hex().upper(), base64.b32encode(raw).decode().rstrip("=")])
-        found += secrets.scan("before " + code + " after")[1] == [(7, 3, 7 + len(code))]
-    assert found >= 190
-    for text in ("internationalization_of_programming_languages", "src/main/resources/application/configuration/defaults", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", "98765432109876543210x", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "Donaudampfschifffahrtsgesellschaft"):
-        assert secrets.scan(text) == ([], [])
+        out.append(rng.choice([base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), raw.hex().upper(), base64.b32encode(raw).decode().rstrip("=")]))
+    return out
+
+
+ORDINARY = ("internationalization_of_programming_languages", "src/main/resources/application/configuration/defaults", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz", "98765432109876543210x", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "Donaudampfschifffahrtsgesellschaft", "getUserAccountByEmailAddressAndPassword")
+
+
+def _brute_discoveries(texts):
+    """The two weighted Benjamini-Hochberg rules on the p-values themselves, sorted: the text and span of each report."""
+    tests = [(k, m.span(), m[0]) for k, t in enumerate(texts) for m in secrets._RUN.finditer(t)]
+    alphabets = [secrets.ALPHABETS[secrets.encoding(run)] for _, _, run in tests]
+    mean = sum(len(run) for _, _, run in tests) / len(tests)
 
+    def rejected(ps, rate):
+        order = sorted(range(len(ps)), key=lambda i: ps[i] * mean / len(tests[i][2]))
+        last = max((k for k, i in enumerate(order, 1) if ps[i] * mean / len(tests[i][2]) <= rate * k / len(ps)), default=0)
+        return set(order[:last])
 
-def test_battery_rejects_order():
-    assert secrets.serial(list(range(16)) * 4, 16) < 0.01 or secrets.runs(list(range(16)) * 4, 16) < 0.01
+    cleared = rejected([secrets.battery(run, a) for (_, _, run), a in zip(tests, alphabets, strict=True)], secrets.CLEARED)
+    odd = rejected([secrets.ordinary(run, len(a)) for (_, _, run), a in zip(tests, alphabets, strict=True)], secrets.FDR)
+    return {(tests[i][0], *tests[i][1]) for i in odd - cleared}
+
+
+def test_random_keys_are_found_and_words_are_not(spark):
+    codes = _random_texts()
+    texts = ["before " + c + " after" for c in codes] + list(ORDINARY) * 40
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(rows, keep_text=False).select("doc_id", "secrets.spans").collect()}
+    assert sum(got[i] == f"random:7:{7 + len(c)}" for i, c in enumerate(codes)) >= 190
+    assert all(got[i] == "" for i in range(len(codes), len(texts)))
+    found = {(i, *map(int, x.split(":")[1:])) for i, spans in got.items() for x in spans.split(",") if x}
+    brute = _brute_discoveries(texts)
+    assert len(found ^ brute) <= 2  # bins are a twentieth of a digit wide
+    whole = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(rows).select("doc_id", "secrets.spans").collect()}
+    assert whole == got
+
+
+def test_battery_rejects_order_and_keeps_randomness():
+    hex16 = secrets.ALPHABETS["hex"]
+    assert secrets.battery(hex16 * 3, hex16) < 0.01 and secrets.battery("0f" * 20, hex16) < 1e-6
     assert secrets.chi_squared([0] * 40, 16) < 1e-6
     assert secrets.runs([0, 15] * 20, 16) < 1e-6
+    rng = np.random.default_rng(0)
+    for size in (16, 32, 64):
+        ps = [secrets.chi_squared(rng.integers(0, size, 40).tolist(), size) for _ in range(2000)]
+        assert 0.03 < np.mean(np.array(ps) < 0.05) < 0.07 and 0.4 < np.mean(np.array(ps) < 0.5) < 0.6
+
+
+def test_op2_query_equals_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = secrets.op2_secrets(spark, DATA).collect()
+    assert len(rows) == len(texts) and rows[0].asDict().keys() == {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}
+    for r in rows:
+        base = _brute_spans(texts[r["doc_id"]])
+        told = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(told).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in spans if not x.startswith("random")] == told
+        places = [int(x.split(":")[1]) for x in spans]
+        assert places == sorted(places)
 
 
 def test_secrets_odd_cases(odd, none):

@@ -1,28 +1,34 @@
 """Secret scan: three fixed patterns, and a battery of randomness tests with control of false discoveries.
 
 Beside the patterns, each run of at least MIN_LENGTH characters of the usual encodings is tested. Its encoding (hex,
-base32 or base64) is inferred from its characters; a chi-squared test of uniformity over the encoding's alphabet, a
-runs test about the median and a test of lag-1 serial correlation must all leave randomness standing. Words and paths
-can pass these when short, so each run also gets a p-value for being ordinary: the likelihood ratio of ordinary text to
-uniform draws, which by Markov's inequality bounds how often ordinary text looks so random. Among a document's runs the
-Benjamini-Hochberg rule, with weights in proportion to length, keeps the expected share of false ones under FDR.
+base32 or base64) is inferred from its characters. A chi-squared test of uniformity over the encoding's whole alphabet, a
+runs test about its middle and a test of lag-1 serial correlation give three p-values for a random run, which Fisher's
+method combines. Words and paths can pass these when short, so each run also gets a p-value for being ordinary: the
+likelihood ratio of ordinary text to uniform draws, which by Markov's inequality bounds how often ordinary text looks so
+random.
+
+Discoveries are controlled over all runs of the table, twice, by the Benjamini-Hochberg rule with weights in proportion
+to length, so that a long run, of which the tests tell more, needs less: the battery clears runs, of which a share of
+CLEARED at most are random; of those not cleared the runs that ordinary text does not explain are reported, of which a
+share of FDR at most are ordinary. The rule needs counts of p-values only, in bins of a twentieth of a decimal digit.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 KINDS = ("assign", "access", "hex", "random")
-MIN_LENGTH, ALPHA, FDR = 20, 0.002, 0.01
+MIN_LENGTH, CLEARED, FDR = 20, 0.002, 0.01
+#: Bins of a decimal digit of a p-value, and digits told apart.
+BINS, DIGITS = 20, 300
 #: Fixed patterns: the letters of assign in either case, ASCII only.
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -56,13 +62,17 @@ def encoding(run: str) -> str:
 
 
 def chi_squared(values: list[int], size: int) -> float:
-    """p-value of uniformity over four equal parts of the alphabet (three degrees of freedom)."""
+    """p-value of uniformity over the alphabet: the statistic, with the mean and variance it has for so few draws, by
+    the cube root of Wilson and Hilferty."""
     n = len(values)
-    counts = [0, 0, 0, 0]
+    counts = [0] * size
     for v in values:
-        counts[4 * v // size] += 1
-    x = sum((c - n / 4) ** 2 for c in counts) / (n / 4)
-    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+        counts[v] += 1
+    x = sum(c * c for c in counts) * size / n - n
+    scale = n / max(n - 1, 1)
+    free = (size - 1) * scale
+    z = ((x * scale / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    return math.erfc(z / math.sqrt(2)) / 2
 
 
 def runs(values: list[int], size: int) -> float:
@@ -100,24 +110,36 @@ def ordinary(run: str, size: int) -> float:
     return min(1.0, 2.0 ** min(bits, 0.0)) if bits < 0 else 1.0
 
 
-def random_runs(text: str) -> list[tuple[int, int]]:
-    """Spans of the runs that pass the battery and the control of false discoveries within the text."""
-    tested = []
+def battery(run: str, letters: str) -> float:
+    """Fisher's combination of the three tests: how probable a random run of the alphabet is to look so little random."""
+    place = {c: i for i, c in enumerate(letters)}
+    values = [place.get(c, len(letters) - 1) for c in run]
+    x = -sum(math.log(max(test(values, len(letters)), 1e-300)) for test in (chi_squared, runs, serial))
+    return min(1.0, math.exp(-x) * (1 + x + x * x / 2))
+
+
+def tested(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, bin of the battery's p-value, bin of the ordinary one) of each run; p-values are by length."""
+    found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        letters = ALPHABETS[encoding(run)]
-        p = ordinary(run, len(letters))
-        passed = False
-        if p < FDR:
-            values = [letters.find(c) if c in letters else len(letters) - 1 for c in run]
-            passed = min(test(values, len(letters)) for test in (chi_squared, runs, serial)) * 3 >= ALPHA
-        tested.append((p if passed else 1.0, len(run), m.span()))
-    if not tested:
-        return []
-    mean = sum(n for _, n, _ in tested) / len(tested)
-    weighted = sorted((p * mean / n, span) for p, n, span in tested)
-    last = max((k for k, (p, _) in enumerate(weighted, 1) if p <= FDR * k / len(weighted)), default=0)
-    return [span for _, span in weighted[:last]]
+        letters = ALPHABETS[encoding(m[0])]
+        pair = (battery(m[0], letters), ordinary(m[0], len(letters)))
+        found.append((m.start(), m.end(), *(p_bin(p / len(m[0])) for p in pair)))
+    return found
+
+
+def p_bin(p: float) -> int:
+    return int(min(-math.log10(max(p, 10.0**-DIGITS)), DIGITS) * BINS)
+
+
+def least_bin(counts: dict[int, int], number: int, length: float, rate: float) -> int:
+    """The first bin of discoveries among so many runs of so much length; bins hold p-values by length."""
+    best, beyond = DIGITS * BINS + 1, 0
+    for at in sorted(counts, reverse=True):
+        beyond += counts[at]
+        if length * 10.0 ** (-at / BINS) <= rate * beyond:
+            best = at
+    return best
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -128,44 +150,63 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all: random runs that no base span touches are added."""
+def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+    """Base spans, and the tested runs that no base span touches."""
     text = text or ""
     base = base_spans(text)
-    extra = [(a, 3, b) for a, b in random_runs(text) if not any(a < end and start < b for start, _, end in base)]
-    return base, sorted(base + extra)
+    return base, [r for r in tested(text) if not any(r[0] < end and start < r[1] for start, _, end in base)]
 
 
-def written(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
+def limits(found: DataFrame) -> tuple[int, int]:
+    """The first bins of cleared and of reported runs, from the runs (start, stop, clear, odd) of all rows."""
+    every = found.select(F.explode("runs").alias("r")).select("r.*")
+    size = F.sum(F.col("stop") - F.col("start"))
+    rows = every.groupBy("clear", "odd").agg(F.count(F.lit(1)).alias("n"), size.alias("length")).collect()  # bins, not runs
+    number, length = sum(r["n"] for r in rows), float(sum(r["length"] for r in rows))
 
+    def first(column: str, rate: float, kept: list) -> int:
+        counts: dict[int, int] = {}
+        for r in kept:
+            counts[r[column]] = counts.get(r[column], 0) + r["n"]
+        return least_bin(counts, number, length, rate)
 
-SCHEMA = "struct<n_assign:bigint,n_access:bigint,n_hex:bigint,n_random:bigint,base:string,spans:string>"
+    return first("clear", CLEARED, rows), first("odd", FDR, rows)
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column secrets: counts by kind, and spans as kind:start:end in code points, end exclusive.
+def written(spans: Column) -> Column:
+    """Spans (start, kind, stop) as kind:start:end, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
-    A null or empty text has none. Rows are scanned one by one, whole, without a shuffle; other columns stay as they
-    are, but a column named secrets is replaced.
+
+SCHEMA = "struct<base:array<struct<start:int,kind:int,stop:int>>,runs:array<struct<start:int,stop:int,clear:int,odd:int>>>"
+
+
+def find_secrets(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with the column secrets: counts by kind, and base and all spans as kind:start:end in code points, end exclusive.
+
+    A null or empty text has none; very long texts are scanned whole. Whether a run is reported depends on all runs of the
+    table, repeated rows included, so rows equal in text have equal spans. Other columns stay as they are, but a column
+    named secrets is replaced. An empty table gives no rows. Without keep_text the text is left out, and each text is
+    scanned once; with it the scan is repeated rather than texts written.
     """
 
     @F.pandas_udf(SCHEMA)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = []
-            for t in texts:
-                base, spans = scan(t)
-                rows.append((*(sum(k == kind for _, k, _ in spans) for kind in range(4)), written(base), written(spans)))
-            yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_random", "base", "spans"])
-
-    return docs.withColumn("secrets", run(F.col(text)))
-
+            rows = [scan(t) for t in texts]
+            yield pd.DataFrame({"base": [[dict(zip(("start", "kind", "stop"), x, strict=True)) for x in b] for b, _ in rows], "runs": [[dict(zip(("start", "stop", "clear", "odd"), x, strict=True)) for x in r] for _, r in rows]})
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    scanned = docs.withColumn("secrets", run(F.col(text)))
+    if not keep_text:
+        scanned = cut(scanned.drop(text), "scanned")
+    clear, odd = limits(scanned.select("secrets.runs"))
+    extra = F.transform(F.filter("secrets.runs", lambda r: (r["clear"] < clear) & (r["odd"] >= odd)), lambda r: F.struct(r["start"].alias("start"), F.lit(3).alias("kind"), r["stop"].alias("stop")))
+    spans = F.array_sort(F.concat("secrets.base", extra))
+    of = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return scanned.withColumn("secrets", F.struct(*[of(k) for k in range(4)], written(F.col("secrets.base")).alias("base"), written(spans).alias("spans")))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex", F.sha2("secrets.base", 256).alias("base_sha256"), "secrets.spans")
