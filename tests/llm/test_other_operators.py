@@ -66,6 +66,11 @@ def test_html_odd_cases(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_formulas_stay_and_white_space_is_unicode():
+    page = "<article><p>The area is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> for\u00a0\u3000all of&nbsp;the squares here.</p></article>"
+    assert [b.text for b in html.blocks_of(page)] == ["The area is x=2 for all of the squares here."]
+
+
 # nearest neighbours
 
 

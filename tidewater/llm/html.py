@@ -26,8 +26,8 @@ from .common import table
 PAGES, STEPS = 600, 150
 #: Fixed values of HTML: elements without content, elements whose content is no text, and elements inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript svg head title iframe object canvas math textarea select datalist audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br label".split())
+HIDDEN = frozenset("script style template noscript svg head title iframe textarea select datalist".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br label math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover semantics audio canvas object video".split())
 ALONE = frozenset("p li dt dd td th tr option".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -318,7 +318,9 @@ def extract(pages: DataFrame, html_column: str = "html", field: Field | None = N
     """pages with the column text (replaced if there is one): the article's blocks, in order, joined by line feeds.
 
     A null or empty page, or one without blocks of an article, has the empty text. Pages are read whole and one by one,
-    without a shuffle; repeated rows are treated alike.
+    however long, without a shuffle; repeated rows are treated alike, and there are no ties: Viterbi's path takes the first
+    of equals. White space is what Unicode calls so, no-break and ideographic spaces included. An empty table gives no
+    rows. Other columns stay as they are.
     """
     sent = pages.sparkSession.sparkContext.broadcast(field or default_field())  # bounded by the training pages
 

@@ -99,7 +99,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null and wordless texts have fingerprint zero and are linked like others. Repeated rows stay repeated. Rows with a
     null id keep it; they link others but never name a component unless all its ids are null (then it is null).
-    Exact copies meet in a partial aggregation by fingerprint, so groups of copies never form pairs.
+    Exact copies meet in a partial aggregation by fingerprint, so groups of copies never form pairs. A bit that half of
+    the shingles set is a tie and stays clear. Texts are read whole, however long. An empty table gives no rows.
     Columns beside the two named are not read, so clashing names do no harm.
     """
     marked = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(text, shingle).alias("fp")), "fingerprints")

@@ -193,7 +193,8 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
 
     A null html is an empty payload. Rows that repeat page_id and payload are all response if that page_id is the
     group's largest, else all revisits of it. A page without an id never is what others refer to, and its page_id
-    is null again. An empty table gives no rows and no archive.
+    is null again. Very long payloads are written and read in blocks. An empty table gives no rows and no archive. Other
+    columns are not read, so clashing names do no harm.
     """
     spark = pages.sparkSession
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
