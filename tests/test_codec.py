@@ -35,7 +35,31 @@ def test_caps_hold_and_distortion_falls_with_the_budget(vector, mode):
 
 def test_infeasible(vector):
     with pytest.raises(codec.Infeasible):
-        codec.encode(vector, 13, BLOCKS)
+        codec.encode(vector, 11, BLOCKS)
+    with pytest.raises(codec.Infeasible):
+        codec.encode(vector, 13, BLOCKS, "sparse")
+    data, back, _ = codec.encode(vector, 13, BLOCKS)  # a packet of no records
+    assert not back.any() and not codec.decode(data, BLOCKS).any()
+
+
+def test_whole_vector_packets(vector):
+    """With several blocks the largest magnitudes of the whole vector are a choice of their own, and one of auto's."""
+    for budget in (100, 800, 4000, 5000):
+        data, back, error = codec.encode(vector, budget, BLOCKS, "sparse")
+        assert len(data) <= budget and np.array_equal(codec.decode(data, BLOCKS), back)
+        assert codec.encode(vector, budget, BLOCKS)[2] <= error + 1e-12
+    data, back, error = codec.encode(vector, 10**6, BLOCKS, "dense")
+    assert np.array_equal(codec.decode(data, BLOCKS), back) and error < 1e-6
+    record, _ = codec.record(codec.WHOLE, vector, np.arange(1000), 8)
+    with pytest.raises(codec.Malformed):
+        codec.decode(codec.packet(1000, [record, codec.record(0, vector[:700], np.arange(700), 8)[0]]), BLOCKS)
+
+
+def test_choices_are_what_records_say(vector):
+    x = vector[:700]
+    for cost, error, k, bits in codec.choices(x)[1:]:
+        data, back = codec.record(0, x, codec.largest(x, int(k)), int(bits))
+        assert len(data) == cost and error == pytest.approx(((x - back) ** 2).sum(), rel=1e-9, abs=1e-9)
 
 
 @given(st.binary(max_size=80))
@@ -81,8 +105,9 @@ def test_allocation(total):
     assert sum(got.values()) == total
     assert all(100 <= got[c] <= caps[c] for c in caps)
     assert codec.allocate({"a": 0, "b": 0}, 0) == {"a": 0, "b": 0}
+    assert codec.allocate(caps, 2000) == caps
     with pytest.raises(codec.Infeasible):
-        codec.allocate(caps, 2000)
+        codec.allocate(caps, 299, 100)
 
 
 def test_envelope_round_trip_and_rejection():

@@ -44,7 +44,37 @@ def test_screen_flags_the_opposed_client(spark):
     base = g.standard_normal(64)
     rows = [(1, f"c{i}", (base + 0.2 * g.standard_normal(64)).tolist()) for i in range(6)] + [(1, "evil", (-5 * base).tolist())]
     out = {r["client"]: r for r in sketch.robust_screen(spark.createDataFrame(rows, "round int, client string, v array<double>"), "round", "client", "v").collect()}
-    assert [c for c, r in out.items() if r["flagged"]] == ["evil"] and out["evil"]["weight"] == 0.1
+    assert [c for c, r in out.items() if r["flagged"]] == ["evil"] and out["evil"]["weight"] == 0.1 and out["c0"]["reason"] == "clean"
+
+
+def test_screen_by_plain_loops():
+    """Each client against the converged median of the others, one by one."""
+    g = np.random.default_rng(8)
+    x = g.standard_normal(12) + 0.5 * g.standard_normal((9, 12))
+    x[2] *= 40.0  # too large
+    x[3] *= 0.01  # small updates are no reason
+    x[4] = -x[4]
+    got = sketch.screened(x, block=4)
+    unit, logs = x / np.linalg.norm(x, axis=1, keepdims=True), np.log(np.linalg.norm(x, axis=1))
+    spread = lambda v, floor: max(1.4826 * np.median(np.abs(v - np.median(v))), floor)
+    for j in range(9):
+        others = [k for k in range(9) if k != j]
+        centre, there, _ = sketch.geometric_median(unit[others], np.ones(8))
+        centre = centre / np.linalg.norm(centre)
+        peers = unit[others] @ centre
+        z = (np.median(peers) - unit[j] @ centre) / spread(peers, 0.1)
+        n = (logs[j] - np.median(logs[others])) / spread(logs[others], 0.25)
+        assert there and got["cosine"][j] == pytest.approx(unit[j] @ centre, abs=1e-5)
+        assert got["z_cosine"][j] == pytest.approx(z, abs=1e-4) and got["z_norm"][j] == pytest.approx(n, abs=1e-9)
+    assert np.flatnonzero(got["flagged"]).tolist() == [2, 4]
+
+
+def test_clients_without_consensus_pass_unscreened(spark):
+    corners = [[1.0, 0.0], [-1.0, 0.0], [0.0, 1.0], [0.0, -1.0], [1.0, 0.0], [-1.0, 0.0], [0.0, 1.0], [0.0, -1.0]]
+    out = sketch.screened(np.array(corners * 4))
+    assert set(out["reason"]) <= {"no_consensus", "median_not_converged"} and not out["screened"].any() and (out["weight"] == 1).all()
+    rows = spark.createDataFrame([(1, str(i), v) for i, v in enumerate(corners[:3])], "round int, client string, v array<double>")
+    assert {r["reason"] for r in sketch.robust_screen(rows, "round", "client", "v").collect()} == {"warmup"}
 
 
 def test_support_normalised_mean(spark):
@@ -67,6 +97,9 @@ def test_personal_bias():
     z, y = np.zeros(40), (np.arange(40) % 4 > 0).astype(float)
     b = personalize.fit_bias(z, y, 0.0)
     assert b == pytest.approx(np.log(3), abs=1e-6)
+    # summed loss and half a ridge: 10 rows short of half pull against 5 b
+    ridged = personalize.fit_bias(z, y, 5.0)
+    assert 40 / (1 + np.exp(-ridged)) - 30 + 5 * ridged == pytest.approx(0, abs=1e-9)
     assert personalize.shrunk_bias(z, y, 0.0) == pytest.approx(b * 40 / 55)
     assert personalize.bias_helps(z, y, 0.0)[0] and not personalize.bias_helps(z[:7], y[:7], 0.0)[0]
 

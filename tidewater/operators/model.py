@@ -57,14 +57,14 @@ class Net:
         return np.concatenate([on, [True], np.repeat(on, self.hidden), np.ones(2 * self.hidden, bool)])
 
     def loss(self, theta: np.ndarray, x: np.ndarray, y: np.ndarray, class_weight: np.ndarray, anchor: np.ndarray | None = None, l2: float = 0.0, prox: float = 0.0) -> tuple[float, np.ndarray]:
-        """Class-weighted logistic loss with L2 and proximal terms, and its gradient."""
+        """Mean logistic loss by class weight with L2 and proximal terms, and its gradient."""
         s, b, w1, b1, w2 = self.split(theta)
         h = np.tanh(x @ w1 + b1)
         z = x @ s + b + h @ w2
         w = class_weight[y.astype(int)]
-        n = max(len(y), 1)
-        value = float((w * (np.logaddexp(0, z) - y * z)).sum() / n)
-        e = w * (1 / (1 + np.exp(-z)) - y) / n
+        mass = max(w.sum(), 1e-300)
+        value = float(w @ (np.logaddexp(0, z) - y * z) / mass)
+        e = w * (1 / (1 + np.exp(-z)) - y) / mass
         back = np.outer(e, w2) * (1 - h * h)
         grad = np.concatenate([x.T @ e, [e.sum()], (x.T @ back).ravel(), back.sum(0), h.T @ e])
         value += 0.5 * l2 * float(theta @ theta)
@@ -124,11 +124,12 @@ def preset(name: str, **changes) -> Settings:
 
 
 def train_local(net: Net, theta: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray, class_weight: np.ndarray, s: Settings, *names) -> tuple[np.ndarray, float]:
-    """The clipped change of local_steps Adam steps from theta on seeded batches, and the last loss. No state is kept."""
-    gen, now, m, v, loss = rng("batch", s.seed, *names), theta.copy(), np.zeros_like(theta), np.zeros_like(theta), 0.0
+    """The clipped change of local_steps Adam steps from theta on seeded batches, and the mean loss. No state is kept."""
+    gen, now, m, v, losses = rng("batch", s.seed, *names), theta.copy(), np.zeros_like(theta), np.zeros_like(theta), []
     for step in range(1, s.local_steps + 1):
         rows = gen.choice(len(y), min(s.batch, len(y)), replace=False)
         loss, g = net.loss(now, x[rows], y[rows], class_weight, theta, s.l2, s.prox)
+        losses.append(loss)
         g = np.where(mask, g, 0.0)
         size = np.linalg.norm(g)
         g = g * min(1.0, 10.0 / max(size, 1e-12))
@@ -172,7 +173,7 @@ class State:
     best: tuple[float, np.ndarray, int] | None = None
 
 
-LOG_SCHEMA = "round int, participants int, status string, uplink_bytes long, sketch_bytes long, downlink_to_kept long, audit_excluded int, flagged int, infeasible int, relative_distortion double, norm_delta double, val_nll double"
+LOG_SCHEMA = "round int, participants int, status string, uplink_bytes long, sketch_bytes long, downlink_to_kept long, audit_excluded int, flagged int, infeasible int, relative_distortion double, norm_delta double, val_macro_f1 double, val_nll double"
 EVENT_SCHEMA = "round int, client_id string, malicious boolean, physical_cap int, allocated_bytes int, excluded string, attack string, screened boolean, flagged boolean, weight double, screen_reason string"
 
 
@@ -211,7 +212,7 @@ def run_rounds(clients: DataFrame, s: Settings, scenario: Scenario = Scenario(),
     """clients: client_id, x array<double>, y, a row per epoch with the same inputs; rows of a client train together.
 
     The server holds the model, the sampled clients' packets and residuals of their size; rows never leave executors.
-    validate(net, theta) gives a loss by which the best round is kept. A state from a checkpoint resumes after its last
+    validate(net, theta) gives a score (the participants' mean macro-F1) and a loss; the round of the highest score is kept. A state from a checkpoint resumes after its last
     round; checkpoint(state) is called each round.
     """
     spark = clients.sparkSession
@@ -264,7 +265,7 @@ def run_rounds(clients: DataFrame, s: Settings, scenario: Scenario = Scenario(),
             frame = spark.createDataFrame([(1, c, declared[c].tolist()) for c in kept], "round int, client_id string, v array<double>")
             for x in sketch.robust_screen(frame, "round", "client_id", "v", s.screen_min).collect():  # a row per sampled client
                 weights[x["client_id"]] = x["weight"]
-                events[x["client_id"]] |= {"screened": True, "flagged": x["flagged"], "screen_reason": x["reason"] or ""}
+                events[x["client_id"]] |= {"screened": x["screened"], "flagged": x["flagged"], "screen_reason": x["reason"] or ""}
         for c in kept:
             events[c]["weight"] = weights[c]
         moved = np.zeros(net.size)
@@ -278,16 +279,16 @@ def run_rounds(clients: DataFrame, s: Settings, scenario: Scenario = Scenario(),
             raise FloatingPointError(f"round {r}: parameters not finite")
         for c in target:  # applied updates leave what was not sent, all others leave everything
             state.residuals[c] = target[c] - payload[c] if c in kept else target[c]
-        value = None
+        score = value = None
         if validate and (r % s.eval_every == 0 or r == s.rounds):
-            value = float(validate(net, state.theta))
-            if state.best is None or value < state.best[0] - 1e-12:
-                state.best = (value, state.theta.copy(), r)
+            score, value = map(float, validate(net, state.theta))
+            if state.best is None or score > state.best[0] + 1e-12:
+                state.best = (score, state.theta.copy(), r)
         state.events += list(events.values())
         state.logs.append({
             "round": r, "participants": len(chosen), "status": "applied" if kept else "no_feasible_clients" if not payload else "all_audit_excluded", "uplink_bytes": size, "sketch_bytes": 4 * s.sketch_dim * len(payload),
             "downlink_to_kept": down * len(kept), "audit_excluded": len(payload) - len(kept), "flagged": sum(e["flagged"] for e in events.values()), "infeasible": sum(e["excluded"] == "infeasible_budget" for e in events.values()),
-            "relative_distortion": error / energy if energy else 0.0, "norm_delta": float(np.linalg.norm(moved)), "val_nll": value,
+            "relative_distortion": error / energy if energy else 0.0, "norm_delta": float(np.linalg.norm(moved)), "val_macro_f1": score, "val_nll": value,
         })
         if checkpoint:
             checkpoint(state)

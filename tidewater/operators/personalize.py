@@ -15,9 +15,9 @@ def nll(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_bias(z: np.ndarray, y: np.ndarray, ridge: float) -> float:
-    """The bias in (-3, 3) of least ridged logistic loss: a root of the monotone gradient, by bisection."""
+    """The bias in (-3, 3) of least summed logistic loss and half a ridge: a root of the monotone gradient, by bisection."""
     lo, hi = -3.0, 3.0
-    slope = lambda b: float(np.mean(1 / (1 + np.exp(-(z + b))) - y)) + 2 * ridge * b
+    slope = lambda b: float(np.sum(1 / (1 + np.exp(-(z + b))) - y)) + ridge * b
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if slope(mid) < 0 else (lo, mid)
@@ -28,7 +28,7 @@ def shrunk_bias(z: np.ndarray, y: np.ndarray, ridge: float, k: float = 15.0, cap
     return float(np.clip(fit_bias(z, y, ridge) * len(z) / (len(z) + k), -cap, cap)) if len(z) else 0.0
 
 
-def bias_helps(z: np.ndarray, y: np.ndarray, ridge: float, margin: float = 0.02, cap: float = 1.0) -> tuple[bool, float, float]:
+def bias_helps(z: np.ndarray, y: np.ndarray, ridge: float, margin: float = 0.03, cap: float = 1.0) -> tuple[bool, float, float]:
     """Whether biases fitted without each row lower the mean loss by margin, with both losses; never below eight rows."""
     if len(z) < 8:
         return False, float("nan"), float("nan")
@@ -38,7 +38,7 @@ def bias_helps(z: np.ndarray, y: np.ndarray, ridge: float, margin: float = 0.02,
     return left < base * (1 - margin), base, left
 
 
-def personal_rows(df: DataFrame, threshold: float, ridge: float = 0.1, margin: float = 0.02, cap: float = 1.0) -> DataFrame:
+def personal_rows(df: DataFrame, threshold: float, ridge: float = 5.0, margin: float = 0.03, cap: float = 1.0) -> DataFrame:
     """df (client_id, z, y, part): for each client and arm (shared, personalised) the query metrics and what the gate saw.
 
     The gate wants 5 support rows, 10 query rows, 4 of the support's minority, logits that spread by 0.05, and the

@@ -56,7 +56,7 @@ def geometric_median(points: np.ndarray, weights: np.ndarray, iterations: int =
     for step in range(1, iterations + 1):
         pull = weights / np.maximum(np.linalg.norm(points - centre, axis=1), 1e-12)
         moved = pull @ points / pull.sum()
-        if np.linalg.norm(moved - centre) <= tol * max(1.0, np.linalg.norm(centre)):
+        if np.linalg.norm(moved - centre) < tol:
             return moved, True, step
         centre = moved
     return centre, False, iterations
@@ -74,47 +74,17 @@ def group_medians(df: DataFrame, group: str, vector: str, iterations: int = 60,
     return df.groupBy(group).applyInPandas(run, f"{group} {kind}, coord int, centre double, converged boolean")
 
 
-#: Fixed bounds of the screen.
-MIN_CONSENSUS, MAX_OPPOSED, MAX_Z, MIN_COS_GAP, MIN_NORM_GAP, MAD, LOW_TRUST = 0.1, -0.25, 4.5, 0.55, 1.25, 1.4826, 0.1
+# Fixed bounds of the screen: least norm of a consensus, most opposed cosine, spreads from the median that count and the
+# gaps they must come with, a spread of a normal sample in units of MAD and its floors, weight of a flagged client.
+MIN_CONSENSUS, MAX_OPPOSED, MAX_Z, MIN_COS_GAP, MIN_NORM_GAP, MAD, COS_FLOOR, NORM_FLOOR, LOW_TRUST = 0.1, -0.25, 4.5, 0.55, 1.25, 1.4826, 0.1, 0.25, 0.1
 
 
-def screen_scores(scores: DataFrame, group: str) -> DataFrame:
-    """scores (group, client, cosine to the consensus of the others, consensus norm, log_norm) with flagged, reason, weight.
-
-    Cosines and norms are compared with the median of the group in units of MAD, floored at 0.1 and 0.25.
-    """
-    by = Window.partitionBy(group)
-    med = lambda c: F.percentile(c, F.lit(0.5)).over(by)
-    rows = scores.withColumns({"__cm": med("cosine"), "__nm": med("log_norm")})
-    rows = rows.withColumns({"__cd": F.abs(F.col("cosine") - F.col("__cm")), "__nd": F.abs(F.col("log_norm") - F.col("__nm"))})
-    rows = rows.withColumns({"z_cosine": (F.col("__cm") - F.col("cosine")) / F.greatest(med("__cd") * MAD, F.lit(0.1)), "z_norm": F.col("__nd") / F.greatest(med("__nd") * MAD, F.lit(0.25))})
-    weak = F.col("consensus") < MIN_CONSENSUS
-    why = (
-        F.when(weak, "no_consensus")
-        .when(F.col("cosine") < MAX_OPPOSED, "opposed")
-        .when((F.col("z_cosine") > MAX_Z) & (F.col("__cm") - F.col("cosine") > MIN_COS_GAP), "direction")
-        .when((F.col("z_norm") > MAX_Z) & (F.col("__nd") > MIN_NORM_GAP), "size")
-    )
-    out = rows.withColumn("reason", why).withColumn("flagged", F.col("reason").isNotNull() & (F.col("reason") != "no_consensus"))
-    return out.withColumn("weight", F.when(F.col("flagged"), LOW_TRUST).otherwise(1.0)).drop("__cm", "__nm", "__cd", "__nd")
-
-
-def mean_consensus(updates: DataFrame, group: str, client: str, vector: str) -> DataFrame:
-    """group, client, cosine, consensus, log_norm against the mean direction of the others: totals less one's own share."""
-    unit = updates.select(group, client, norm(F.col(vector)).alias("__n"), F.col(vector).alias("__v")).filter("__n > 0")
-    long = unit.select(group, client, "__n", F.posexplode("__v").alias("coord", "x")).withColumn("u", F.col("x") / F.col("__n"))
-    total = long.groupBy(group, "coord").agg(F.sum("u").alias("__t"))
-    count = unit.groupBy(group).agg(F.count(F.lit(1)).alias("__k"))
-    rest = long.join(total, [group, "coord"]).join(count, group).withColumn("o", (F.col("__t") - F.col("u")) / (F.col("__k") - 1))
-    sums = rest.filter("__k > 1").groupBy(group, client).agg(F.sum(F.col("u") * F.col("o")).alias("__d"), F.sqrt(F.sum(F.col("o") * F.col("o"))).alias("consensus"), F.first("__n").alias("__n"))
-    return sums.select(group, client, (F.col("__d") / F.greatest("consensus", F.lit(1e-12))).alias("cosine"), "consensus", F.ln("__n").alias("log_norm"))
-
-
-def left_out_medians(points: np.ndarray, iterations: int = 60, tol: float = 1e-7, block: int = 256) -> np.ndarray:
-    """For each point the geometric median of all others, as geometric_median steps to it; a block of points at a time."""
-    n, out = len(points), np.zeros(points.shape, dtype=float)
+def left_out_medians(points: np.ndarray, iterations: int = 60, tol: float = 1e-7, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the geometric median of all others, as geometric_median steps to it, and whether it got there; a
+    block of points at a time."""
+    n, out, there = len(points), np.zeros(points.shape, dtype=float), np.zeros(len(points), dtype=bool)
     if n < 2:
-        return out
+        return out, there
     squares, total = (points * points).sum(1), points.sum(0)
     for start in range(0, n, block):
         rows = np.arange(start, min(start + block, n))
@@ -126,29 +96,73 @@ def left_out_medians(points: np.ndarray, iterations: int = 60, tol: float = 1e-7
             pull[np.arange(len(going)), rows[going]] = 0.0
             moved = pull @ points / pull.sum(1)[:, None]
             centre[going] = moved
-            going = going[np.linalg.norm(moved - now, axis=1) > tol * np.maximum(1.0, np.linalg.norm(now, axis=1))]
+            still = np.linalg.norm(moved - now, axis=1) >= tol
+            there[rows[going[~still]]] = True
+            going = going[still]
             if not len(going):
                 break
         out[rows] = centre
-    return out
+    return out, there | (tol < 0)  # without a tolerance the steps are all that is asked for
+
+
+def _against_others(seen: np.ndarray, own: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The median of each column without its own entry (marked NaN in seen), and own's distance below it in spreads."""
+    middle = np.nanmedian(seen, axis=0)
+    spread = np.maximum(MAD * np.nanmedian(np.abs(seen - middle), axis=0), floor)
+    return middle, (middle - own) / spread
 
 
-def robust_screen(updates: DataFrame, group: str, client: str, vector: str, least: int = 5) -> DataFrame:
-    """The screen with leave-one-out geometric medians; groups of fewer than least clients are passed unscreened."""
+def screened(vectors: np.ndarray, iterations: int = 60, tol: float = 1e-7, block: int = 256) -> dict[str, np.ndarray]:
+    """The screen of one group of clients, each against the consensus of the others: their left-out geometric median.
+
+    A client's cosine to it is compared with the others' cosines to the same consensus, its log norm with the others'. Only
+    what is too large is flagged for its size. Clients whose others have no consensus pass unscreened.
+    """
+    size = np.linalg.norm(vectors, axis=1)
+    unit, logs = vectors / np.maximum(size, 1e-12)[:, None], np.log(np.maximum(size, 1e-12))
+    centres, there = left_out_medians(unit, iterations, tol, block)
+    length = np.linalg.norm(centres, axis=1)
+    out = {k: np.full(len(unit), np.nan) for k in ("cosine", "z_cosine", "z_norm", "gap_cosine", "gap_norm")}
+    for start in range(0, len(unit), block):
+        mine = np.arange(start, min(start + block, len(unit)))
+        places = (mine, np.arange(len(mine)))
+        seen = unit @ (centres[mine] / np.maximum(length[mine], 1e-12)[:, None]).T
+        own = seen[places].copy()
+        sizes = np.repeat(logs[:, None], len(mine), axis=1)
+        seen[places] = sizes[places] = np.nan
+        if len(unit) > 1:
+            middle, z = _against_others(seen, own, COS_FLOOR)
+            usual, far = _against_others(sizes, logs[mine], NORM_FLOOR)
+            for name, values in (("cosine", own), ("z_cosine", z), ("gap_cosine", middle - own), ("z_norm", -far), ("gap_norm", logs[mine] - usual)):
+                out[name][mine] = values
+    weak = length < MIN_CONSENSUS
+    direction = (out["cosine"] < MAX_OPPOSED) | ((out["z_cosine"] > MAX_Z) & (out["gap_cosine"] > MIN_COS_GAP))
+    flagged = (direction | ((out["z_norm"] > MAX_Z) & (out["gap_norm"] > MIN_NORM_GAP))) & ~weak & there
+    reason = np.where(weak, "no_consensus", np.where(~there, "median_not_converged", np.where(flagged, "flagged", "clean")))
+    for name in ("cosine", "z_cosine", "z_norm"):
+        out[name] = np.where(weak | ~there, np.nan, out[name])
+    return {k: out[k] for k in ("cosine", "z_cosine", "z_norm")} | {"consensus": length, "screened": ~weak & there, "flagged": flagged, "reason": reason, "weight": np.where(flagged, LOW_TRUST, 1.0)}
+
+
+def robust_screen(updates: DataFrame, group: str, client: str, vector: str, least: int = 5, steps: int | None = None) -> DataFrame:
+    """group, client, cosine, z_cosine, z_norm, consensus, screened, flagged, reason, weight: screened() of each group.
+
+    A group is a round's clients and meets in one task. Groups of fewer than least pass unscreened (warmup). With steps the
+    medians are taken after just so many, as a table in SQL would be; else they must converge.
+    """
+    names = ["cosine", "z_cosine", "z_norm", "consensus", "screened", "flagged", "reason", "weight"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x = np.array(part[vector].tolist(), dtype=float)
-        size = np.linalg.norm(x, axis=1)
-        unit = x / np.maximum(size, 1e-12)[:, None]
-        c = left_out_medians(unit)
-        n = np.linalg.norm(c, axis=1)
-        cosine = (unit * c).sum(1) / np.maximum(n, 1e-12)
-        return pd.DataFrame({group: part[group].to_numpy(), client: part[client].to_numpy(), "cosine": cosine, "consensus": n, "log_norm": np.log(np.maximum(size, 1e-12))})
+        if len(x) < least:
+            got = dict.fromkeys(names[:4], np.full(len(x), np.nan)) | {"screened": False, "flagged": False, "reason": "warmup", "weight": 1.0}
+        else:
+            got = screened(x, steps or 60, 1e-7 if steps is None else -1.0)
+        return pd.DataFrame({group: part[group].to_numpy(), client: part[client].to_numpy(), **{n: got[n] for n in names}})
 
     kinds = dict(updates.dtypes)
-    scored = updates.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {client} {kinds[client]}, cosine double, consensus double, log_norm double")
-    out = screen_scores(scored, group).withColumn("screened", F.count(F.lit(1)).over(Window.partitionBy(group)) >= least)
-    return out.withColumns({"flagged": F.col("flagged") & F.col("screened"), "weight": F.when(F.col("screened"), F.col("weight")).otherwise(1.0)})
+    out = updates.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {client} {kinds[client]}, cosine double, z_cosine double, z_norm double, consensus double, screened boolean, flagged boolean, reason string, weight double")
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names[:4]})
 
 
 def aggregate_updates(long: DataFrame, group: str) -> DataFrame:

@@ -75,24 +75,34 @@ def sketch_nullspace(spark, d):
     return met.groupBy("bucket").agg((F.round(F.sum(F.col("sign") * F.col("v")), 6) + 0.0).alias("s"))
 
 
+SCREEN_STEPS = 5
+
+
 @query(
     "loo_cosine_screen",
-    f"""WITH {UPDATES_SQL}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM long GROUP BY vec_id), u AS (SELECT long.*, n, x / n AS u FROM long JOIN n USING (vec_id)),
-  o AS (SELECT *, (sum(u) OVER (PARTITION BY label, coord) - u) / (count(*) OVER (PARTITION BY label, coord) - 1) AS o FROM u), s AS (SELECT label, vec_id, any_value(n) AS n, sum(u * o) AS d, sqrt(sum(o * o)) AS consensus FROM o GROUP BY label, vec_id),
-  c AS (SELECT *, d / greatest(consensus, 1e-12) AS cosine, ln(n) AS log_norm FROM s), m AS (SELECT *, quantile_cont(cosine, 0.5) OVER w AS cm, quantile_cont(log_norm, 0.5) OVER w AS nm FROM c WINDOW w AS (PARTITION BY label)),
-  dd AS (SELECT *, abs(cosine - cm) AS cd, abs(log_norm - nm) AS nd FROM m), z AS (SELECT *, (cm - cosine) / greatest(quantile_cont(cd, 0.5) OVER w * 1.4826, 0.1) AS zc, nd / greatest(quantile_cont(nd, 0.5) OVER w * 1.4826, 0.25) AS zn FROM dd WINDOW w AS (PARTITION BY label)),
-  f AS (SELECT *, CASE WHEN consensus < 0.1 THEN 'no_consensus' WHEN cosine < -0.25 THEN 'opposed' WHEN zc > 4.5 AND cm - cosine > 0.55 THEN 'direction' WHEN zn > 4.5 AND nd > 1.25 THEN 'size' END AS reason FROM z)
-  SELECT label, vec_id, round(cosine, 6) AS cosine, round(consensus, 6) AS consensus, reason, coalesce(reason <> 'no_consensus', false) AS flagged, CASE WHEN coalesce(reason <> 'no_consensus', false) THEN 0.1 ELSE 1.0 END::DOUBLE AS weight FROM f""",
+    f"""WITH RECURSIVE {UPDATES_SQL}, n AS (SELECT label, vec_id, sqrt(sum(x * x)) AS n FROM long GROUP BY label, vec_id), u AS (SELECT label, vec_id, coord, x / greatest(n, 1e-12) AS u FROM long JOIN n USING (label, vec_id)),
+  it AS (SELECT 0 AS k, label, vec_id AS j, coord, (sum(u) OVER (PARTITION BY label, coord) - u) / (count(*) OVER (PARTITION BY label, coord) - 1) AS c FROM u
+    UNION ALL SELECT k + 1, label, j, coord, sum(w * u) / sum(w) FROM (SELECT it.k, it.label, it.j, it.coord, u.u, 1 / greatest(sqrt(sum((u.u - c) * (u.u - c)) OVER (PARTITION BY it.label, it.j, u.vec_id)), 1e-12) AS w
+      FROM it JOIN u ON u.label = it.label AND u.coord = it.coord AND u.vec_id <> it.j WHERE k < {SCREEN_STEPS}) GROUP BY k, label, j, coord),
+  cen AS (SELECT label, j, coord, c, sqrt(sum(c * c) OVER (PARTITION BY label, j)) AS consensus FROM it WHERE k = {SCREEN_STEPS}),
+  cs AS (SELECT cen.label, j, u.vec_id, any_value(consensus) AS consensus, sum(u.u * c) / greatest(any_value(consensus), 1e-12) AS cosine FROM cen JOIN u USING (label, coord) GROUP BY cen.label, j, u.vec_id),
+  own AS (SELECT * FROM cs WHERE j = vec_id), cm AS (SELECT label, j, quantile_cont(cosine, 0.5) AS med FROM cs WHERE j <> vec_id GROUP BY label, j), cd AS (SELECT label, j, any_value(med) AS med, quantile_cont(abs(cosine - med), 0.5) AS mad FROM cs JOIN cm USING (label, j) WHERE j <> vec_id GROUP BY label, j),
+  lp AS (SELECT a.label, a.vec_id AS j, ln(greatest(b.n, 1e-12)) AS x, ln(greatest(a.n, 1e-12)) AS mine FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id), lm AS (SELECT label, j, any_value(mine) AS mine, quantile_cont(x, 0.5) AS med FROM lp GROUP BY label, j),
+  ld AS (SELECT label, j, any_value(lm.mine) AS mine, any_value(med) AS med, quantile_cont(abs(x - med), 0.5) AS mad FROM lp JOIN lm USING (label, j) GROUP BY label, j),
+  z AS (SELECT o.label, o.vec_id, o.cosine, o.consensus, cd.med - o.cosine AS gap, (cd.med - o.cosine) / greatest(1.4826 * cd.mad, 0.1) AS z_cosine, ld.mine - ld.med AS over, (ld.mine - ld.med) / greatest(1.4826 * ld.mad, 0.25) AS z_norm FROM own o JOIN cd USING (label, j) JOIN ld USING (label, j)),
+  f AS (SELECT *, consensus >= 0.1 AS screened, consensus >= 0.1 AND (cosine < -0.25 OR (z_cosine > 4.5 AND gap > 0.55) OR (z_norm > 4.5 AND over > 1.25)) AS flagged FROM z)
+  SELECT label, vec_id, CASE WHEN screened THEN round(cosine, 6) END AS cosine, CASE WHEN screened THEN round(z_cosine, 6) END AS z_cosine, CASE WHEN screened THEN round(z_norm, 6) END AS z_norm, round(consensus, 6) AS consensus, screened, flagged,
+    CASE WHEN NOT screened THEN 'no_consensus' WHEN flagged THEN 'flagged' ELSE 'clean' END AS reason, CASE WHEN flagged THEN 0.1 ELSE 1.0 END::DOUBLE AS weight FROM f""",
 )
 def loo_cosine_screen(spark, d):
-    out = sketch.screen_scores(sketch.mean_consensus(updates(spark, d), "label", "vec_id", "v"), "label")
-    return rounded(out.select("label", "vec_id", "cosine", "consensus", "reason", "flagged", "weight"))
+    """The screen with medians after a fixed number of steps, which SQL can take as well."""
+    return rounded(sketch.robust_screen(updates(spark, d), "label", "vec_id", "v", steps=SCREEN_STEPS))
 
 
 @query("robust_screen")
 def robust_screen(spark, d):
-    """Screening with leave-one-out geometric medians; an iteration's result, so rows only."""
-    return rounded(sketch.robust_screen(updates(spark, d), "label", "vec_id", "v").select("label", "vec_id", "cosine", "flagged", "weight", "screened"), 4)
+    """The screen with converged medians: an iteration's result, so rows only."""
+    return rounded(sketch.robust_screen(updates(spark, d), "label", "vec_id", "v").select("label", "vec_id", "cosine", "flagged", "reason", "weight", "screened"), 4)
 
 
 STEPS = 5
@@ -119,10 +129,9 @@ def support_normalised_mean(spark, d):
     return rounded(sketch.aggregate_updates(long, "label"))
 
 
-@query("l2_clip", f"WITH {UPDATES_SQL}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM long GROUP BY vec_id) SELECT vec_id, round(n, 6) AS before, round(least(n, {CLIP}), 6) AS after FROM n")
+@query("l2_clip", f"WITH {UPDATES_SQL} SELECT vec_id, coord, round(x * least(1.0, {CLIP} / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-30)), 6) + 0.0 AS x FROM long")
 def l2_clip_query(spark, d):
-    u = updates(spark, d)
-    return rounded(u.select("vec_id", norm(F.col("v")).alias("before"), norm(l2_clip(F.col("v"), CLIP)).alias("after")))
+    return rounded(_long(updates(spark, d).select("vec_id", l2_clip(F.col("v"), CLIP).alias("v")), "vec_id"))
 
 
 @query(
@@ -188,13 +197,12 @@ def byte_codec_roundtrip(spark, d):
     return out.select("vec_id", (F.col("x.vector") == F.col("e.recon")).alias("decoded"), (F.col("e.bytes") <= 120).alias("within_cap"), F.col("y.malformed").isNotNull().alias("rejected"))
 
 
-@query("fleet_allocate", "SELECT total::INT AS total, total::BIGINT AS dealt, true AS within FROM (VALUES (300), (450), (999)) t(total)")
+@query("fleet_allocate", "SELECT * FROM (VALUES (300, 100, 100, 100), (450, 100, 249, 101), (999, 100, 350, 549), (2000, 100, 350, 600)) t(total, a, b, c)")
 def fleet_allocate(spark, d):
-    caps, rows = {"a": 100, "b": 350, "c": 600}, []
-    for total in (300, 450, 999):
-        got = codec.allocate(caps, total, 100, {"a": 10.0, "b": 1.0, "c": 0.01})
-        rows.append((total, sum(got.values()), all(min(100, caps[c]) <= got[c] <= caps[c] for c in caps)))
-    return spark.createDataFrame(rows, "total int, dealt long, within boolean")
+    """Shares by hand: a stays at its cap, b and c split the rest 1 to 0.01 up to b's cap; beyond all caps nothing is dealt."""
+    caps, priorities = {"a": 100, "b": 350, "c": 600}, {"a": 10.0, "b": 1.0, "c": 0.01}
+    dealt = [(total, codec.allocate(caps, total, 100, priorities)) for total in (300, 450, 999, 2000)]
+    return spark.createDataFrame([(total, *(got[c] for c in "abc")) for total, got in dealt], "total int, a int, b int, c int")
 
 
 @query("client_sampling", f"""WITH c AS (SELECT DISTINCT label FROM embeddings) SELECT round::INT AS round, label FROM (SELECT r.round, label, row_number() OVER (PARTITION BY r.round ORDER BY sha256('participation:3:' || r.round || ':' || label)) AS k FROM c, range(1, 4) r(round)) WHERE k <= 4""")
@@ -235,10 +243,16 @@ def run_summary(spark, d):
     return rounded(model.run_summary(model.logs_frame(spark, state), model.events_frame(spark, state)))
 
 
-@query("model_logits", "SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * i / 64.0)) + 0.25, 6) AS z FROM embeddings")
+HIDDEN = 4
+
+
+@query(
+    "model_logits",
+    f"""WITH e AS (SELECT vec_id, unnest(range({DIM})) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), h AS (SELECT vec_id, h, tanh(sum(x * ((i + 2 * h) % 7 - 3) / 5.0) + h / 10.0) * (h + 1) / 4.0 AS t FROM e, range({HIDDEN}) r(h) GROUP BY vec_id, h),
+  s AS (SELECT vec_id, sum(x * (i + 1) / 64.0) + 0.25 AS z FROM e GROUP BY vec_id) SELECT vec_id, round(any_value(z) + sum(t), 6) AS z FROM s JOIN h USING (vec_id) GROUP BY vec_id""",
+)
 def model_logits(spark, d):
-    """The network at its start is linear: logits of fixed skip weights."""
-    net = model.Net(DIM, 4)
-    theta = net.start(0)
-    theta[: DIM + 1] = np.append(np.arange(1, DIM + 1) / 64.0, 0.25)
+    """Logits of fixed skip and hidden weights."""
+    net, i, h = model.Net(DIM, HIDDEN), np.arange(DIM), np.arange(HIDDEN)
+    theta = np.concatenate([(i + 1) / 64.0, [0.25], ((i[:, None] + 2 * h) % 7 - 3).ravel() / 5.0, h / 10.0, (h + 1) / 4.0])
     return rounded(table(spark, d, "embeddings").select("vec_id", model.logits_column(net, theta, F.col("embedding")).alias("z")))

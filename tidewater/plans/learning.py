@@ -52,7 +52,7 @@ def declared_lookahead(spark, d):
     return rounded(out.select("event_id", "feature_start", "feature_end", "declared_lookahead_s"), 3)
 
 
-ROLES_SQL = """clients AS (SELECT c_mktsegment AS dataset, 'C' || c_custkey::VARCHAR AS client_id FROM customer WHERE c_custkey % 25 = 0),
+ROLES_SQL = """clients AS (SELECT c_mktsegment AS dataset, 'C' || c_custkey::VARCHAR AS client_id FROM customer),
   n AS (SELECT *, count(*) OVER (PARTITION BY dataset) AS n FROM clients), ok AS (SELECT * FROM n WHERE n >= 5),
   picked AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY sha256('fold:0:' || client_id)) AS k FROM ok),
   pairs AS (SELECT h.dataset, h.client_id AS held, c.client_id, h.n, row_number() OVER (PARTITION BY h.dataset, h.client_id ORDER BY c.client_id = h.client_id, sha256('split:0:' || h.client_id || ':' || c.client_id)) AS r
@@ -62,7 +62,7 @@ ROLES_SQL = """clients AS (SELECT c_mktsegment AS dataset, 'C' || c_custkey::VAR
 
 
 def roles(spark, d):
-    clients = table(spark, d, "customer").filter(F.col("c_custkey") % 25 == 0).select(F.col("c_mktsegment").alias("dataset"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("client_id"))
+    clients = table(spark, d, "customer").select(F.col("c_mktsegment").alias("dataset"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("client_id"))
     return splits.loso_roles(clients, 0, 3, 3)
 
 

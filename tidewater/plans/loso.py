@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import sigmoid, softplus
 from ..operators import calibrate, decoding, joins, metrics, model, personalize, preprocess, splits, validate, windows
 from ..sources import store
 
@@ -64,9 +65,9 @@ class Predictor:
         return inputs(df, a.scaler, keep).withColumn("z", model.logits_column(a.net, np.array(a.theta), F.col("x"))).drop("x")
 
     def probabilities(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """keep (with client_id and label_start), z, p_calibrated and p."""
+        """keep (with client_id and label_start), z, p_raw, p_calibrated and p."""
         a = self.artifact
-        p = self.logits(df, keep).withColumn("p_calibrated", a.calibration.probability(F.col("z")))
+        p = self.logits(df, keep).withColumns({"p_raw": sigmoid(F.col("z")), "p_calibrated": a.calibration.probability(F.col("z"))})
         runs = windows.contiguous_runs(p, "client_id", "label_start", "label_start")
         return decoding.smooth(runs, ["client_id", "run"], ORDER, a.chain, a.strength, "p_calibrated").withColumnRenamed("p_smooth", "p").drop("run", "step")
 
@@ -78,28 +79,29 @@ KEEP = ["dataset", "client_id", "label_start", "label_end", "feature_start", "fe
 
 
 def train(df: DataFrame, roles: DataFrame, held: str, s: model.Settings, scenario: model.Scenario) -> tuple[Artifact, model.State]:
-    """Fits on the fit clients, calibrates on cal, tunes smoothing and threshold on val: no row of the held client."""
+    """Fits on the fit clients, calibrates and counts the label chain on cal, tunes smoothing and threshold on val: no row
+    of the held client."""
     part = {r: splits.role_rows(df, roles, held, r) for r in ("fit", "val", "cal")}
     scaler = preprocess.RobustScaler().fit(part["fit"], validate.sensor_columns(df))
     clients = inputs(part["fit"], scaler, ["client_id", "y"], missing=True).cache()
     val = inputs(part["val"], scaler, ["client_id", "y"])
     weight = preprocess.subject_weights(val, "client_id")
 
-    def loss(net: model.Net, theta: np.ndarray) -> float:
-        z = model.logits_column(net, theta, F.col("x"))
-        from ..functions.exprs import softplus
-
-        return weight.withColumn("z", z).agg(F.sum(F.col("weight") * (softplus(F.col("z")) - F.col("y") * F.col("z"))) / F.sum("weight")).first()[0]
+    def score(net: model.Net, theta: np.ndarray) -> tuple[float, float]:
+        """The participants' mean macro-F1 at a threshold of 0.5, and their mean loss."""
+        z = weight.withColumn("z", model.logits_column(net, theta, F.col("x"))).withColumn("p", sigmoid(F.col("z")))
+        loss = z.agg(F.sum(F.col("weight") * (softplus(F.col("z")) - F.col("y") * F.col("z"))) / F.sum("weight")).first()[0]
+        return metrics.confusion(z, ["client_id"], 0.5).agg(F.avg("macro_f1")).first()[0], loss
 
     try:
-        net, state = model.run_rounds(clients, s, scenario, loss)
+        net, state = model.run_rounds(clients, s, scenario, score)
     finally:
         clients.unpersist()
     theta = state.best[1] if state.best else state.theta
     z = model.logits_column(net, theta, F.col("x"))
     cal = calibrate.fit(inputs(part["cal"], scaler, ["client_id", "y"]).withColumn("z", z), "client_id", "z", "y")
     runs = lambda x: windows.contiguous_runs(x, "client_id", "label_start", "label_start")
-    chain = decoding.fit_chain(runs(part["fit"]), ["client_id", "run"], ORDER, "y")
+    chain = decoding.fit_chain(runs(part["cal"]), ["client_id", "run"], ORDER, "y")
     scored = runs(inputs(part["val"], scaler, ["client_id", "label_start", "y"])).withColumn("p", cal.probability(z)).drop("x")
     strength, threshold = decoding.tune(scored, ["client_id", "run"], ORDER, chain, "client_id", (0.0, 0.5, 1.0))
     return Artifact(scaler, net, theta.tolist(), cal, chain, strength, threshold), state
@@ -112,7 +114,7 @@ def choose_lr(df: DataFrame, roles: DataFrame, held: str, s: model.Settings, gri
     best = []
     for lr in grid:
         _, state = train(df, roles, held, replace(s, lr=lr, rounds=rounds, codec="dense", upload_cap=1 << 24), model.Scenario())
-        best.append((state.best[0], abs(np.log(lr / 0.003)), lr))
+        best.append((-state.best[0], abs(np.log(lr / 0.003)), lr))
     return min(best)[2]
 
 

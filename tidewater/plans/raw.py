@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import signal, validate
 from ..sources import nested_signals, synthetic, text_series
-from .frames import epochs, rounded, table
+from .frames import EPOCHS_SQL, epochs, rounded, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -49,11 +50,21 @@ def multirate_windows(spark, d):
     return rounded(out.groupBy("client_id", "channel", "win").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
 
 
-@query("spectral_features")
+@query(
+    "spectral_features",
+    f"""WITH {EPOCHS_SQL}, x AS (SELECT client_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY client_id) AS n, value AS x, value - lag(value) OVER w AS d FROM epochs WINDOW w AS (PARTITION BY client_id ORDER BY t, event_id)),
+  g AS (SELECT client_id, n, seg, i - 16 * seg AS j, x FROM x, range(0, 100) r(seg) WHERE n >= 32 AND 16 * seg + 32 <= n AND i >= 16 * seg AND i < 16 * seg + 32),
+  c AS (SELECT client_id, seg, j, (x - avg(x) OVER (PARTITION BY client_id, seg)) * (0.5 - 0.5 * cos(2 * pi() * j / 32)) AS x FROM g),
+  f AS (SELECT client_id, seg, k, sum(x * cos(2 * pi() * j * k / 32)) AS re, sum(x * sin(2 * pi() * j * k / 32)) AS im FROM c, range(0, 17) r(k) GROUP BY client_id, seg, k),
+  p AS (SELECT client_id, k, avg((re * re + im * im) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END) AS p FROM f GROUP BY client_id, k), q AS (SELECT client_id, k, k / 8.0 AS hz, p / sum(p) OVER (PARTITION BY client_id) AS q FROM p),
+  a AS (SELECT client_id, -sum(q * ln(q + 1e-15)) / ln(17) AS spec_entropy, arg_max(hz, CASE WHEN k > 0 THEN q ELSE -1 END) AS dominant_hz, sum(CASE WHEN hz < 0.05 THEN q ELSE 0 END) AS lo, sum(CASE WHEN hz >= 0.05 AND hz < 0.5 THEN q ELSE 0 END) AS hi FROM q GROUP BY client_id)
+  SELECT client_id, 'eda_wrist_spec_entropy' AS feature, round(spec_entropy, 6) AS value FROM a UNION ALL SELECT client_id, 'eda_wrist_dominant_hz', round(dominant_hz, 6) FROM a UNION ALL SELECT client_id, 'eda_wrist_power_0_0.05', round(lo, 6) FROM a UNION ALL SELECT client_id, 'eda_wrist_power_0.05_0.5', round(hi, 6) FROM a
+  UNION ALL SELECT client_id, 'eda_wrist_positive_diff_mean', round(sum(greatest(d, 0)) / count(d), 6) FROM x GROUP BY client_id HAVING count(*) >= 16""",
+)
 def spectral_features(spark, d):
-    """Events of a user as a signal of 4 Hz: NumPy features, so rows only (their definitions are tested on known signals)."""
-    e = epochs(spark, d).select("client_id", "t", "event_id", "value")
-    return rounded(signal.group_features(e, ["client_id"], "t", "value", 4.0, "eda_wrist"), 6)
+    """Events of a user as an EDA signal of 4 Hz; the SQL twin is a plain Fourier sum."""
+    e = epochs(spark, d).select("client_id", F.struct("t", "event_id").alias("at"), "value").withColumn("at", F.row_number().over(Window.partitionBy("client_id").orderBy("at")))
+    return rounded(signal.group_features(e, ["client_id"], "at", "value", 4.0, "eda_wrist"), 6)
 
 
 @query("synthetic_fixture", "SELECT dataset, 8::BIGINT AS clients, 800::BIGINT AS epochs, 0::BIGINT AS violations FROM (VALUES ('WESAD'), ('SLEEP')) t(dataset)")
