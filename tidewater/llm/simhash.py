@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, skew_join, table
+from .common import cut, remove, skew_join, table, written
 from .components import components
 
 SEED = 42
@@ -197,10 +197,12 @@ def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = cut(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     own = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = cut(own.select("node", _shingles_column("text").alias("shingles")), "sets")
+    sets, path = written(own.select("node", _shingles_column("text").alias("shingles")), "sets")
     x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "su"), ("v", "sv")))
     shared = pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("su", "sv")).alias("shared"), (F.size("su") + F.size("sv")).alias("both"))
-    return cut(shared.filter(9 * F.col("shared") >= 4 * F.col("both")).select("u", "v"), "verified")
+    verified = cut(shared.filter(9 * F.col("shared") >= 4 * F.col("both")).select("u", "v"), "verified")
+    remove(texts.sparkSession, path)
+    return verified
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -228,7 +230,7 @@ def similar_links(texts: DataFrame, known: DataFrame) -> DataFrame:
     yet connected are compared, so a group of near copies is not expanded into pairs unless those comparisons leave it
     in pieces. Each candidate's exact similarity decides.
     """
-    met = cut(_met(_prefixes(texts, *_common(texts))), "ends")
+    met = _met(_prefixes(texts, *_common(texts)))
     centre = F.explode(F.array(*[F.struct(f"{k}.node", f"{k}.n", f"{k}.at") for k in ("least", "most", "pure")]))
     stars = met.select("node", "n", "at", centre.alias("c")).filter((F.col("node") != F.col("c.node")) & _possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at")))
     linked = known.unionByName(_verified(stars.select(F.col("node").alias("u"), F.col("c.node").alias("v")), texts))
@@ -280,8 +282,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     its component has an id.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "node")
-    best = _copies(docs).groupBy("root").agg(F.min(rank).alias("best"))
-    kept = best.select("best.late", F.coalesce("best.doc_id", F.lit(0)).alias("id"), "best.node").withColumn("at", F.struct("late", "id", "node")).select("at")
-    at = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
-    packed = docs.select(F.struct("*").alias("doc"), at.alias("at"))
-    return packed.join(kept, "at", "left_semi").dropDuplicates(["at"]).select("doc.*")
+    rows = _copies(docs).groupBy("root", "doc_id", "node").agg(F.count(F.lit(1)).alias("rows"))
+    best = rows.groupBy("root").agg(F.min(rank).alias("best"), F.min_by("rows", rank).alias("rows"))
+    kept = cut(best.select(_place(F.col("best.doc_id"), F.col("best.node")).alias("at"), "rows"), "kept")
+    packed = docs.select(F.struct("*").alias("doc"), _place(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("at")).join(kept.select("at"), "at", "left_semi")
+    if kept.filter("rows > 1").take(1):  # else no row has an equal
+        packed = packed.withColumn("nth", F.row_number().over(Window.partitionBy("at").orderBy("at"))).filter("nth = 1")
+    return packed.select("doc.*")
+
+
+def _place(doc_id: Column, node: Column) -> Column:
+    """A document's id and text, comparable where the id is null."""
+    return F.struct(doc_id.isNull().alias("late"), F.coalesce(doc_id, F.lit(0)).alias("id"), node.alias("node"))
