@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SENSORS = ("acc", "bvp", "eda", "temp", "ecg", "emg", "resp", "hr", "steps")
+#: Fixed prefixes of feature columns; ctx and time are derived.
+SENSORS = ("acc", "ppg", "hr", "ecg", "eda", "emg", "resp", "temp", "steps", "ctx", "time")
 REQUIRED = ("dataset", "client_id", "y", "feature_start", "feature_end", "label_start", "label_end", "declared_lookahead_s")
 
 

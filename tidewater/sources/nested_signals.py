@@ -9,8 +9,10 @@ from __future__ import annotations
 import io
 import pickle
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,27 @@ def to_tables(spark: SparkSession, recordings: dict[str, dict], wrist_only: bool
     return samples, labels
 
 
+def read_nested(spark: SparkSession, paths: list[str], wrist_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """samples and labels of pickled recordings, a file per client, read by executors; clients are named by their files."""
+    files = spark.read.format("binaryFile").load(paths).select(F.concat(F.lit("WESAD_"), F.regexp_extract("path", r"([^/]+)\.pkl$", 1)).alias("client_id"), "content").repartition(len(paths))
+    names = [x.split()[0] for x in SAMPLES.split(", ")]
+
+    def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for client, data in zip(part["client_id"], part["content"], strict=True):
+                rows = sample_rows(client, load_nested(data), wrist_only)
+                while some := list(islice(rows, 50_000)):
+                    yield pd.DataFrame(some, columns=names)
+
+    def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for client, data in zip(part["client_id"], part["content"], strict=True):
+                label = np.asarray(load_nested(data)["label"]).ravel().astype("int32")
+                yield pd.DataFrame({"client_id": client, "idx": np.arange(len(label)), "label": label})
+
+    return files.mapInPandas(samples, SAMPLES), files.mapInPandas(labels, "client_id string, idx long, label int")
+
+
 def window_samples(samples: DataFrame, width: float, stride: float) -> DataFrame:
     """samples with win, for each full window of width seconds by stride that holds them; index bounds are rounded, and
     channels with less than 0.9 of a window's samples are left out of it."""

@@ -13,21 +13,39 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def jsonable(x):
-    """Plain JSON values; what is not finite is null."""
-    if isinstance(x, dict):
-        return {str(k): jsonable(v) for k, v in x.items()}
-    if isinstance(x, (list, tuple, set)):
-        return [jsonable(v) for v in (sorted(x, key=repr) if isinstance(x, set) else x)]
-    if hasattr(x, "tolist"):
-        return jsonable(x.tolist())
-    if isinstance(x, float) and not math.isfinite(x):
-        return None
-    return x if isinstance(x, (str, int, float, bool, type(None))) else str(x)
+class _Plain(json.JSONEncoder):
+    """Arrays and sets as lists, other objects by their names; numbers that are not finite as null."""
+
+    def default(self, o):
+        if isinstance(o, (set, frozenset)):
+            return sorted(o, key=repr)
+        return o.tolist() if hasattr(o, "tolist") else str(o)
+
+    def iterencode(self, o, _one_shot=False):
+        return super().iterencode(_finite(json.loads(json.dumps(o, default=self.default))), _one_shot)
+
+
+def _finite(x):
+    match x:
+        case dict():
+            return {k: _finite(v) for k, v in x.items()}
+        case list():
+            return [_finite(v) for v in x]
+        case float() if not math.isfinite(x):
+            return None
+    return x
+
+
+def plain_text(x, **style) -> str:
+    return json.dumps(x, cls=_Plain, sort_keys=True, **style)
 
 
 def digest(x) -> str:
-    return hashlib.sha256(json.dumps(jsonable(x), sort_keys=True).encode()).hexdigest()
+    return hashlib.sha256(plain_text(x).encode()).hexdigest()
+
+
+def read_json(path: str | Path):
+    return json.loads(Path(path).read_text())
 
 
 def write_json(path: str | Path, x) -> None:
@@ -36,7 +54,7 @@ def write_json(path: str | Path, x) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=path.parent)
     with os.fdopen(handle, "w") as f:
-        json.dump(jsonable(x), f, indent=1, sort_keys=True, allow_nan=False)
+        f.write(plain_text(x, indent=1))
     os.replace(name, path)
 
 
