@@ -45,10 +45,16 @@ def label_gate(df: DataFrame, keys: list[str], label: str, valid: list, coverage
     return shares.withColumn("label", F.when((F.col("coverage") >= coverage) & (F.col("purity") >= purity), F.col("__label"))).drop("__valid", "__top", "__label")
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pairs of rows of a and b (key, lo, hi) of one key whose open intervals meet: none where both are disjoint in time."""
-    x, y = a.alias("a"), b.alias("b")
-    return x.join(y, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("a.hi") > F.col("b.lo")))
+def overlapping(a: DataFrame, b: DataFrame, key: str, bin_s: float = 3600.0) -> DataFrame:
+    """Pairs of rows of a and b (key, lo, hi) of one key whose open intervals meet: none where both are disjoint in time.
+
+    Both sides are cut into bins; a pair is kept in the bin where the later of the two starts, so once.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("lo") / bin_s), F.floor(F.col("hi") / bin_s)))
+    x, y = a.withColumn("__bin", bins).alias("a"), b.withColumn("__bin", bins).alias("b")
+    same = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__bin") == F.col("b.__bin"))
+    met = x.join(y, same & (F.col("a.lo") < F.col("b.hi")) & (F.col("a.hi") > F.col("b.lo")))
+    return met.filter(F.col("a.__bin") == F.floor(F.greatest("a.lo", "b.lo") / bin_s)).drop(F.col("a.__bin"), F.col("b.__bin"))
 
 
 def support_query(df: DataFrame, key: str, order: list[str], shots: int) -> DataFrame:

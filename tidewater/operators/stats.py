@@ -8,39 +8,51 @@ from pyspark.sql import functions as F
 from ..functions.exprs import finite, named_int
 
 
+def _stats(df: DataFrame, keys: list[str], order: list[str], prefixes: dict[str, str], dt: float) -> DataFrame:
+    """The eleven statistics of several columns, each over its own finite values, by one sort and one aggregation."""
+    whole = Window.partitionBy(*keys)
+    run = whole.orderBy(*order)
+    up_to, before = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumns({f"__x_{p}": finite(c) for c, p in prefixes.items()})
+    seen, out, picked = {}, [], {}
+    for p in prefixes.values():
+        x = F.col(f"__x_{p}")
+        seen |= {f"__i_{p}": F.count(x).over(up_to) - 1, f"__d_{p}": F.abs(x - F.last(x, ignorenulls=True).over(before)), f"__m_{p}": F.percentile(x, F.lit(0.5)).over(whole)}
+        out += [
+            F.avg(x).alias(f"{p}_mean"),
+            F.stddev_pop(x).alias(f"{p}_std"),
+            F.percentile(x, F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias(f"__q_{p}"),
+            F.median(F.abs(x - F.col(f"__m_{p}"))).alias(f"{p}_mad"),
+            F.sqrt(F.avg(x * x)).alias(f"{p}_rms"),
+            F.coalesce(F.regr_slope(x, F.col(f"__i_{p}") * F.lit(dt)), F.lit(0.0)).alias(f"{p}_slope"),
+            F.coalesce(F.avg(f"__d_{p}"), F.lit(0.0)).alias(f"{p}_dmean"),
+            F.count(x).alias(f"{p}_n"),
+        ]
+        at = lambda k, p=p: F.get(f"__q_{p}", F.lit(k))
+        picked |= {f"{p}_p10": at(0), f"{p}_median": at(2), f"{p}_p90": at(4), f"{p}_iqr": at(3) - at(1)}
+    agg = rows.withColumns(seen).groupBy(*keys).agg(*out).withColumns(picked)
+    return agg.drop(*[f"__q_{p}" for p in prefixes.values()])
+
+
 def basic_stats(df: DataFrame, keys: list[str], order: list[str], value: str, prefix: str, dt: float = 1.0) -> DataFrame:
     """mean, std, median, iqr, p10, p90, mad, rms, slope, dmean and n of the finite values of each group.
 
     The slope is by position times dt after non-finite values are left out; a group of one has slope and dmean 0; a
     group without finite values gives no row. One shuffle by the keys: window and aggregates share it.
     """
-    by = Window.partitionBy(*keys)
-    run = by.orderBy(*order)
-    rows = df.withColumn("__x", finite(value)).filter("__x is not null")
-    seen = rows.select(*keys, "__x", (F.row_number().over(run) - 1).alias("__i"), F.abs(F.col("__x") - F.lag("__x").over(run)).alias("__d"), F.percentile("__x", F.lit(0.5)).over(by).alias("__m"))
-    q = F.percentile("__x", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    agg = seen.groupBy(*keys).agg(
-        F.avg("__x").alias(f"{prefix}_mean"),
-        F.stddev_pop("__x").alias(f"{prefix}_std"),
-        q.alias("__q"),
-        F.median(F.abs(F.col("__x") - F.col("__m"))).alias(f"{prefix}_mad"),
-        F.sqrt(F.avg(F.col("__x") * F.col("__x"))).alias(f"{prefix}_rms"),
-        F.coalesce(F.regr_slope("__x", F.col("__i") * F.lit(dt)), F.lit(0.0)).alias(f"{prefix}_slope"),
-        F.coalesce(F.avg("__d"), F.lit(0.0)).alias(f"{prefix}_dmean"),
-        F.count("__x").alias(f"{prefix}_n"),
-    )
-    return agg.withColumns({f"{prefix}_p10": F.get("__q", F.lit(0)), f"{prefix}_median": F.get("__q", F.lit(2)), f"{prefix}_p90": F.get("__q", F.lit(4)), f"{prefix}_iqr": F.get("__q", F.lit(3)) - F.get("__q", F.lit(1))}).drop("__q")
+    return _stats(df.filter(finite(value).isNotNull()), keys, order, {value: prefix}, dt)
 
 
 def axis_stats(df: DataFrame, keys: list[str], order: list[str], axes: list[str], prefix: str) -> DataFrame:
-    """basic_stats of each axis and of the magnitude, and activity, the mean distance of the magnitude to its median."""
+    """basic_stats of each axis and of the magnitude, and activity, the mean distance of the magnitude to its median; for
+    groups in which each has finite values. One shuffle."""
     square = sum((F.col(a) * F.col(a) for a in axes[1:]), F.col(axes[0]) * F.col(axes[0]))
     rows = df.withColumn("__mag", F.sqrt(square))
-    out = basic_stats(rows, keys, order, "__mag", f"{prefix}_mag")
-    for a in axes:
-        out = out.join(basic_stats(rows, keys, order, a, f"{prefix}_{a}"), keys)
-    centred = rows.withColumn("__m", F.percentile("__mag", F.lit(0.5)).over(Window.partitionBy(*keys)))
-    return out.join(centred.groupBy(*keys).agg(F.avg(F.abs(F.col("__mag") - F.col("__m"))).alias(f"{prefix}_activity")), keys)
+    distance = F.abs(F.col("__mag") - F.percentile("__mag", F.lit(0.5)).over(Window.partitionBy(*keys)))
+    prefixes = {"__mag": f"{prefix}_mag"} | {a: f"{prefix}_{a}" for a in axes}
+    out = _stats(rows.withColumn("__far", distance), keys, order, prefixes | {"__far": "__far"}, 1.0)
+    full = F.least(*[F.col(f"{p}_n") for p in prefixes.values()]) > 0
+    return out.filter(full).withColumnRenamed("__far_mean", f"{prefix}_activity").drop(*[c for c in out.columns if c.startswith("__far") and c != "__far_mean"])
 
 
 def robust_scale(x: Column, small: bool = True) -> Column:
