@@ -114,6 +114,11 @@ def test_fold_artifact_reproduces_its_predictions(spark, tmp_path):
     a, b = (sorted((r["label_start"], round(r["p"], 9), r["prediction"]) for r in x.collect()) for x in (saved, again))
     assert a == b
     assert "1 of 1 jobs completed" in loso.summarize(spark, str(tmp_path))
+    traffic = spark.read.parquet(f"{tmp_path}/communication").collect()
+    sent = spark.read.parquet(f"{tmp_path}/rounds").agg(F.sum("uplink_bytes")).first()[0]
+    assert [(r["dataset"], r["scenario"], r["runs"], r["uplink_bytes"]) for r in traffic] == [("SLEEP", "clean", 1, float(sent))]
+    assert {r["arm"] for r in spark.read.parquet(f"{tmp_path}/personalization_summary").collect()} <= {"shared", "personalised"}
+    assert spark.read.parquet(f"{tmp_path}/predictions").filter("p_raw between 0 and 1").count() == 40
 
 
 def test_json_store(tmp_path):

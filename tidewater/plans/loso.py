@@ -119,7 +119,7 @@ def choose_lr(df: DataFrame, roles: DataFrame, held: str, s: model.Settings, gri
 
 
 def run_fold(df: DataFrame, roles: DataFrame, held: str, s: model.Settings, scenario: model.Scenario, seed: int) -> tuple[Artifact, dict[str, DataFrame]]:
-    """The artifact, and the fold's tables: predictions, participant_metrics, personalization, rounds, client_events."""
+    """The artifact, and the fold's tables: predictions, participant_metrics, personalization, rounds, client_events, system_metrics."""
     spark = df.sparkSession
     artifact, state = train(df, roles, held, s, scenario)
     test = splits.role_rows(df, roles, held, "test")
@@ -128,7 +128,11 @@ def run_fold(df: DataFrame, roles: DataFrame, held: str, s: model.Settings, scen
     scores = metrics.confusion(p, keys, artifact.threshold).join(metrics.auroc_ap(p, keys), keys).join(metrics.calibration_errors(p, keys), keys)
     own = joins.support_query(p, "client_id", ORDER, 20)
     personal = personalize.personal_rows(own.select("client_id", "z", "y", "part"), artifact.threshold)
-    return artifact, {"predictions": tag(p), "participant_metrics": tag(scores), "personalization": tag(personal), "rounds": tag(model.logs_frame(spark, state)).withColumn("held", F.lit(held)), "client_events": tag(model.events_frame(spark, state)).withColumn("held", F.lit(held))}
+    dataset = roles.filter(F.col("held") == held).select("dataset").first()["dataset"]
+    logs, events = model.logs_frame(spark, state), model.events_frame(spark, state)
+    here = lambda x: tag(x).withColumns({"dataset": F.lit(dataset), "held": F.lit(held), "scenario": F.lit(scenario.attack)})
+    tables = {"predictions": tag(p), "participant_metrics": tag(scores), "personalization": tag(personal.withColumn("dataset", F.lit(dataset)))}
+    return artifact, tables | {"rounds": here(logs), "client_events": here(events), "system_metrics": here(model.run_summary(logs, events))}
 
 
 def run_loso(spark: SparkSession, df: DataFrame, root: str, s: model.Settings, scenario: model.Scenario = model.Scenario(), seeds: tuple[int, ...] = (0,), folds: int | None = None, shard: tuple[int, int] = (0, 1)) -> list[dict]:
@@ -185,15 +189,20 @@ def summarize(spark: SparkSession, root: str) -> str:
     per = spark.read.parquet(f"{root}/participant_metrics")
     table = metrics.summary(per, METRICS).orderBy("dataset", "metric")
     store.save_table(table, f"{root}/summary_by_dataset")
-    rounds = spark.read.parquet(f"{root}/rounds")
-    traffic = rounds.groupBy("seed").agg(F.sum("uplink_bytes").alias("uplink_bytes"), F.avg("relative_distortion").alias("relative_distortion"), F.sum("audit_excluded").alias("audit_excluded"), F.sum("flagged").alias("flagged"))
-    personal = spark.read.parquet(f"{root}/personalization").groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg("macro_f1").alias("macro_f1"), F.avg("nll").alias("nll"))
+    system = spark.read.parquet(f"{root}/system_metrics")
+    counted = ["uplink_bytes", "sketch_bytes", "downlink_to_kept", "relative_distortion", "audit_excluded", "infeasible", "screen_tpr", "screen_fpr", "screen_coverage"]
+    traffic = system.groupBy("dataset", "scenario").agg(F.count(F.lit(1)).alias("runs"), *[F.avg(c).alias(c) for c in counted])
+    store.save_table(traffic, f"{root}/communication")
+    # participants count alike, however many seeds they have
+    each = spark.read.parquet(f"{root}/personalization").groupBy("dataset", "arm", "client_id").agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in ("macro_f1", "nll", "adaptation_eligible", "adaptation_gate_passed")])
+    personal = each.groupBy("dataset", "arm").agg(F.count(F.lit(1)).alias("n"), F.avg("macro_f1").alias("macro_f1"), F.avg("nll").alias("nll"), F.avg("adaptation_eligible").alias("eligible_share"), F.avg("adaptation_gate_passed").alias("adapted_share"))
+    store.save_table(personal, f"{root}/personalization_summary")
     rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  summaries of a few rows
     text = "\n\n".join([
         "# Results", f"{len(ledger) - failed} of {len(ledger)} jobs completed.", "## Participants",
         md_table(rows(table), ["dataset", "metric", "n_subjects", "mean", "sd", "median", "p10", "minimum", "maximum", "ci_low", "ci_high"]),
-        "## Traffic", md_table(rows(traffic.orderBy("seed")), ["seed", "uplink_bytes", "relative_distortion", "audit_excluded", "flagged"]),
-        "## Personalisation", md_table(rows(personal.orderBy("arm")), ["arm", "n", "macro_f1", "nll"]),
+        "## Traffic", md_table(rows(traffic.orderBy("dataset", "scenario")), ["dataset", "scenario", "runs", *counted]),
+        "## Personalisation", md_table(rows(personal.orderBy("dataset", "arm")), ["dataset", "arm", "n", "macro_f1", "nll", "eligible_share", "adapted_share"]),
     ])
     Path(root, "RESULTS.md").write_text(text + "\n")
     return text
