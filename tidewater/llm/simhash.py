@@ -192,9 +192,19 @@ def _possible(n: Column, at: Column, m: Column, by: Column) -> Column:
     return 9 * F.least(n - at, m - by) >= 4 * (n + m)
 
 
-def _verified(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """met (u, v), repeats allowed: the pairs of a Jaccard similarity of at least 4 / 5, by their whole sets of shingles."""
-    pairs = cut(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+def _verified(met: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """met (u, nu, v, nv), repeats allowed: the pairs of a Jaccard similarity of at least 4 / 5, by their whole sets of shingles.
+
+    firsts (token, node): the first shingles of texts that others have as well. What two texts share beyond the first
+    shingles of both lies beyond those of u or of v, so the number of first shingles they share and the larger rest of the
+    two bound what they share. Only pairs whose bound allows 4 / 5 have their sets compared.
+    """
+    ordered = F.when(F.col("u") < F.col("v"), F.struct("u", "nu", "v", "nv")).otherwise(F.struct(F.col("v").alias("u"), F.col("nv").alias("nu"), F.col("u").alias("v"), F.col("nu").alias("nv")))
+    found = cut(met.select(ordered.alias("p")).select("p.*").distinct(), "found")
+    both = found.join(firsts.select("token", F.col("node").alias("u")), "u").join(firsts.select("token", F.col("node").alias("v")), ["token", "v"])
+    rest = lambda n: n - F.floor(n / 5) - 1
+    bound = both.groupBy("u", "nu", "v", "nv").agg(F.count(F.lit(1)).alias("shared")).filter(9 * (F.col("shared") + F.greatest(rest(F.col("nu")), rest(F.col("nv")))) >= 4 * (F.col("nu") + F.col("nv")))
+    pairs = cut(bound.select("u", "v"), "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     own = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets, path = written(own.select("node", _shingles_column("text").alias("shingles")), "sets")
@@ -233,7 +243,8 @@ def similar_links(texts: DataFrame, known: DataFrame) -> DataFrame:
     met = _met(_prefixes(texts, *_common(texts)))
     centre = F.explode(F.array(*[F.struct(f"{k}.node", f"{k}.n", f"{k}.at") for k in ("least", "most", "pure")]))
     stars = met.select("node", "n", "at", centre.alias("c")).filter((F.col("node") != F.col("c.node")) & _possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at")))
-    linked = known.unionByName(_verified(stars.select(F.col("node").alias("u"), F.col("c.node").alias("v")), texts))
+    firsts = met.select("token", "node")
+    linked = known.unionByName(_verified(stars.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c.node").alias("v"), F.col("c.n").alias("nv")), texts, firsts))
     roots = components(linked).withColumnRenamed("u", "node")
     here = cut(met.select("token", "salt", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "here")
     # of shingles whose texts are not all connected: the largest piece under each is main
@@ -244,7 +255,7 @@ def similar_links(texts: DataFrame, known: DataFrame) -> DataFrame:
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     near = _possible(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"))
     crossed = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & near)
-    return linked.unionByName(_verified(crossed.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")), texts))
+    return linked.unionByName(_verified(crossed.select(F.col("a.node").alias("u"), F.col("a.n").alias("nu"), F.col("b.node").alias("v"), F.col("b.n").alias("nv")), texts, firsts))
 
 
 def _copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
