@@ -45,16 +45,20 @@ def label_gate(df: DataFrame, keys: list[str], label: str, valid: list, coverage
     return shares.withColumn("label", F.when((F.col("coverage") >= coverage) & (F.col("purity") >= purity), F.col("__label"))).drop("__valid", "__top", "__label")
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str, bin_s: float = 3600.0) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Pairs of rows of a and b (key, lo, hi) of one key whose open intervals meet: none where both are disjoint in time.
 
-    Both sides are cut into bins; a pair is kept in the bin where the later of the two starts, so once.
+    Both sides are cut into bins; a pair is kept in the bin where the later of the two starts, so once. A key's bins are
+    as long as its intervals on average, so there are at most three times as many pieces as rows, whatever the lengths.
     """
-    bins = F.explode(F.sequence(F.floor(F.col("lo") / bin_s), F.floor(F.col("hi") / bin_s)))
-    x, y = a.withColumn("__bin", bins).alias("a"), b.withColumn("__bin", bins).alias("b")
+    both = a.select(key, "lo", "hi").unionByName(b.select(key, "lo", "hi"))
+    widths = both.groupBy(key).agg(F.avg(F.abs(F.col("hi") - F.col("lo"))).alias("__w")).withColumn("__w", F.when(F.col("__w") > 0, F.col("__w")).otherwise(1.0))
+    bins = F.explode(F.sequence(F.floor(F.col("lo") / F.col("__w")), F.floor(F.col("hi") / F.col("__w"))))
+    # merge: cut rows are many more than the planner takes them for, so they would be sent through the driver
+    x, y = (d.join(widths.hint("merge"), key).withColumn("__bin", bins).alias(k) for d, k in ((a, "a"), (b, "b")))
     same = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.__bin") == F.col("b.__bin"))
-    met = x.join(y, same & (F.col("a.lo") < F.col("b.hi")) & (F.col("a.hi") > F.col("b.lo")))
-    return met.filter(F.col("a.__bin") == F.floor(F.greatest("a.lo", "b.lo") / bin_s)).drop(F.col("a.__bin"), F.col("b.__bin"))
+    met = x.join(y.hint("merge"), same & (F.col("a.lo") < F.col("b.hi")) & (F.col("a.hi") > F.col("b.lo")))
+    return met.filter(F.col("a.__bin") == F.floor(F.greatest("a.lo", "b.lo") / F.col("a.__w"))).drop(F.col("a.__bin"), F.col("b.__bin"), F.col("a.__w"), F.col("b.__w"))
 
 
 def support_query(df: DataFrame, key: str, order: list[str], shots: int) -> DataFrame:
