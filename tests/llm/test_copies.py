@@ -1,8 +1,11 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import simhash
+from tidewater.llm.common import cut
 
 
 def _words(rng, n):
@@ -69,3 +72,10 @@ def test_copies_do_not_depend_on_what_counts_as_common(spark, monkeypatch, count
     monkeypatch.setattr(simhash, "COMMON_SHARE", 1, raising=False)
     of = _components(spark, texts)
     assert all(of[i] == of[i + 1] == i for i in range(0, len(texts), 2))
+
+
+def test_probes_are_not_sent_through_the_driver(spark):
+    """A small file of fingerprints makes 68 probes each, which the planner takes for few rows: the join must shuffle them."""
+    prints = cut(spark.range(1000).select(F.xxhash64("id").alias("fp")), "tested")
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[key#\d+L\], \[key#\d+L\], Inner", plan) and not re.search(r"BroadcastHashJoin \[key#\d+L\], \[key#\d+L\], Inner", plan)

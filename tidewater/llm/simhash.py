@@ -74,7 +74,8 @@ def links(prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     )
     hot = stored.groupBy("key").count().filter(F.col("count") > hot_bucket).select("key")
     entries = stored.join(hot, "key", "left_anti").select("key", F.col("fp").alias("y")).unionByName(hot.select("key", F.lit(None).cast("long").alias("y")))
-    met = probes.join(entries, "key")
+    # merge: a planner that goes by the size of the file would send the probes, 68 a fingerprint, through the driver
+    met = probes.join(entries.hint("merge"), "key")
     near = met.filter(F.col("y").isNotNull() & (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= BITS)).select(F.col("x").alias("u"), F.col("y").alias("v"))
     return near.unionByName(_stars(met.filter(F.col("y").isNull())))
 
