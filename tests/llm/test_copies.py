@@ -79,3 +79,18 @@ def test_probes_are_not_sent_through_the_driver(spark):
     prints = cut(spark.range(1000).select(F.xxhash64("id").alias("fp")), "tested")
     plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"SortMergeJoin \[key#\d+L\], \[key#\d+L\], Inner", plan) and not re.search(r"BroadcastHashJoin \[key#\d+L\], \[key#\d+L\], Inner", plan)
+
+
+def test_marks_never_part_copies(spark):
+    """Odd sketches bound how many shingles two texts do not share, so no pair of at least 0.8 is told apart by them."""
+    rng, rows = random.Random(5), []
+    for k in range(100):
+        own = _words(rng, 204)
+        rows.append((" ".join(own), " ".join(_changed(rng, own, k % 8)), " ".join(own[:60] + _words(rng, 144))))
+    frame = spark.createDataFrame(rows, "a string, b string, c string")
+    for k in "abc":
+        frame = frame.withColumn("n" + k, F.size(simhash._shingles_column(k))).withColumn("m" + k, simhash._marks_column(k))
+    close = lambda x, y: simhash._close(F.col("n" + x), F.col("m" + x), F.col("n" + y), F.col("m" + y))
+    got = frame.select(close("a", "b"), close("a", "c")).collect()
+    assert all(r[0] for (a, b, _), r in zip(rows, got, strict=True) if _similarity(a.split(), b.split()) >= 0.8)
+    assert not any(r[1] for r in got)

@@ -48,6 +48,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows sent to a Python worker at once: whole texts, of which Spark's 10,000 are tens of MB a worker, held several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers get BATCH_ROWS rows at a time. No result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 #: Rows of one key from which a join deals them apart from the others.
 HOT_ROWS = 10_000
 

@@ -13,6 +13,8 @@ Each z, around which at most 529 + 32 * 33 fingerprints exist, links all its mem
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -124,6 +126,8 @@ COPY_SHINGLE = 5
 COMMON, COMMON_COUNT, COMMON_SHARE = 250_000, 4, 16
 #: Texts that hold a shingle, as the draw has it, from which they are dealt to SALTS parts. The plan alone depends on it.
 HOT_TOKEN, SALTS = 10_000, 64
+#: Buckets of hashes by which texts that meet are first compared; the fewer, the more pairs have their sets compared.
+MARKS = 1024
 
 
 def shingle_hashes(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
@@ -193,23 +197,36 @@ def _possible(n: Column, at: Column, m: Column, by: Column) -> Column:
     return 9 * F.least(n - at, m - by) >= 4 * (n + m)
 
 
-def _verified(met: DataFrame, texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """met (u, nu, v, nv), repeats allowed: the pairs of a Jaccard similarity of at least 4 / 5, by their whole sets of shingles.
+def _marks_column(text: str) -> Column:
+    """For each of MARKS buckets of hashes whether a text has an odd number of its shingles there, as longs of 64 bits."""
 
-    firsts (token, node): the first shingles of texts that others have as well. What two texts share beyond the first
-    shingles of both lies beyond those of u or of v, so the number of first shingles they share and the larger rest of the
-    two bound what they share. Only pairs whose bound allows 4 / 5 have their sets compared.
-    """
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            odd = (np.bincount(shingle_hashes(t).view(np.uint64) % np.uint64(MARKS), minlength=MARKS) % 2 for t in texts)
+            yield pd.Series([np.packbits(x.astype(bool), bitorder="little").view("<i8") for x in odd], dtype=object)
+
+    return run(F.col(text))
+
+
+def _close(n: Column, marks: Column, m: Column, others: Column) -> Column:
+    """Whether texts of n and m shingles with these marks can be copies: a bucket that is odd in one of them only holds a
+    shingle that one of them lacks, and copies have at most a ninth of n + m such shingles."""
+    return 9 * reduce(add, (F.bit_count(F.get(marks, F.lit(i)).bitwiseXOR(F.get(others, F.lit(i)))) for i in range(MARKS // 64))) <= n + m
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """The different pairs of met (u, nu, v, nv), whichever of both comes first."""
     ordered = F.when(F.col("u") < F.col("v"), F.struct("u", "nu", "v", "nv")).otherwise(F.struct(F.col("v").alias("u"), F.col("nv").alias("nu"), F.col("u").alias("v"), F.col("nu").alias("nv")))
-    found = cut(met.select(ordered.alias("p")).select("p.*").distinct(), "found")
-    both = found.join(firsts.select("token", F.col("node").alias("u")), "u").join(firsts.select("token", F.col("node").alias("v")), ["token", "v"])
-    rest = lambda n: n - F.floor(n / 5) - 1
-    bound = both.groupBy("u", "nu", "v", "nv").agg(F.count(F.lit(1)).alias("shared")).filter(9 * (F.col("shared") + F.greatest(rest(F.col("nu")), rest(F.col("nv")))) >= 4 * (F.col("nu") + F.col("nv")))
-    pairs = cut(bound.select("u", "v"), "pairs")
+    return met.select(ordered.alias("p")).select("p.*").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (u, v), a written table: those of a Jaccard similarity of at least 4 / 5, by their whole sets of shingles."""
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    own = texts.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets, path = written(own.select("node", _shingles_column("text").alias("shingles")), "sets")
-    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "su"), ("v", "sv")))
+    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(s)).hint("merge") for k, s in (("u", "su"), ("v", "sv")))
     shared = pairs.join(x, "u").join(y, "v").select("u", "v", F.size(F.array_intersect("su", "sv")).alias("shared"), (F.size("su") + F.size("sv")).alias("both"))
     verified = cut(shared.filter(9 * F.col("shared") >= 4 * F.col("both")).select("u", "v"), "verified")
     remove(texts.sparkSession, path)
@@ -239,24 +256,31 @@ def similar_links(texts: DataFrame, known: DataFrame) -> DataFrame:
     Shingles of common passages come last in the order, so texts that share no more than a passage do not meet, or meet
     too late. Texts that meet under a shingle are first compared with three of them; then all pairs that meet and are not
     yet connected are compared, so a group of near copies is not expanded into pairs unless those comparisons leave it
-    in pieces. Each candidate's exact similarity decides.
+    in pieces. Marks of whole sets (odd sketches) bound what two texts share, so texts with a passage in common are told
+    apart as they meet. Each candidate's exact similarity decides.
     """
     met = _met(_prefixes(texts, *_common(texts)))
     centre = F.explode(F.array(*[F.struct(f"{k}.node", f"{k}.n", f"{k}.at") for k in ("least", "most", "pure")]))
     stars = met.select("node", "n", "at", centre.alias("c")).filter((F.col("node") != F.col("c.node")) & _possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at")))
-    firsts = met.select("token", "node")
-    linked = known.unionByName(_verified(stars.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c.node").alias("v"), F.col("c.n").alias("nv")), texts, firsts))
+    marks = cut(texts.select("node", _marks_column("text").alias("marks")).groupBy("node").agg(F.first("marks").alias("marks")), "marks")
+    mu, mv = (marks.select(F.col("node").alias(k), F.col("marks").alias(m)).hint("merge") for k, m in (("u", "mu"), ("v", "mv")))
+    found = _pairs(stars.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c.node").alias("v"), F.col("c.n").alias("nv")))
+    pairs = found.join(mu, "u").join(mv, "v").filter(_close(F.col("nu"), F.col("mu"), F.col("nv"), F.col("mv"))).select("u", "v")
+    linked = known.unionByName(_verified(cut(pairs, "pairs"), texts))
     roots = components(linked).withColumnRenamed("u", "node")
-    here = cut(met.select("token", "salt", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "here")
+    here = cut(met.select("token", "salt", "node", "n", "at").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "here")
     # of shingles whose texts are not all connected: the largest piece under each is main
     pieces = here.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     parted = pieces.groupBy("token").agg(F.sum("k").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("k", "root"))["root"].alias("main"))
-    left = cut(skew_join(here, cut(parted.filter("lo <> hi").drop("lo", "hi"), "parted"), ["token"], hot_rows=HOT_TOKEN), "apart")
-    a, b = left.filter("root <> main").alias("a"), left.alias("b")
+    apart = cut(skew_join(here, cut(parted.filter("lo <> hi").drop("lo", "hi"), "parted"), ["token"], hot_rows=HOT_TOKEN), "apart")
+    left = cut(apart.join(marks.hint("merge"), "node"), "left")
+    a, b = left.filter("root <> main").alias("a"), left.alias("b").hint("merge")
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
     near = _possible(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at"))
-    crossed = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & near)
-    return linked.unionByName(_verified(crossed.select(F.col("a.node").alias("u"), F.col("a.n").alias("nu"), F.col("b.node").alias("v"), F.col("b.n").alias("nv")), texts, firsts))
+    close = _close(F.col("a.n"), F.col("a.marks"), F.col("b.n"), F.col("b.marks"))
+    crossed = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & near & close)
+    pairs = _pairs(crossed.select(F.col("a.node").alias("u"), F.col("a.n").alias("nu"), F.col("b.node").alias("v"), F.col("b.n").alias("nv")))
+    return linked.unionByName(_verified(cut(pairs.select("u", "v"), "pairs"), texts))
 
 
 def _copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,7 +292,7 @@ def _copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     narrow = prints.groupBy("fp").agg(F.min("node").alias("least"))
     same = prints.join(narrow, "fp").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     a, b = (narrow.select(F.col("fp").alias(k), F.col("least").alias(n)) for k, n in (("u", "nu"), ("v", "nv")))
-    close = links(narrow.select("fp")).join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    close = links(narrow.select("fp")).join(a.hint("merge"), "u").join(b.hint("merge"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
     known = cut(same.unionByName(close), "known")
     roots = components(similar_links(texts.select("node", "text"), known)).withColumnRenamed("u", "node")
     rooted = cut(prints.join(roots, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root")), "rooted")
