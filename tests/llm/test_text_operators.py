@@ -324,6 +324,65 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     assert brute and brute <= want
 
 
+def test_the_space_is_fitted_on_every_document(spark):
+    """The space of 3000 documents, against the same from dense rows of all of them; a sample of some 500 gives another."""
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join("".join(rng.choice(["ba", "ko", "ri", "tu", "se"], rng.integers(1, 3))) for _ in range(n))
+    texts, items = [word(int(n)) for n in rng.integers(0, 120, 3000)], [(i, word(12)) for i in range(5)]
+    docs = spark.createDataFrame([*enumerate(texts), (3000, None)], "doc_id long, text string")
+    space, _ = decontaminate.build(docs, items)
+    ids, size = space.ids, len(space.ids)
+    df = np.array([sum(w in t.split() for t in texts) for w in ids])
+    assert np.allclose(space.idf, np.log((len(texts) + 2) / (df + 1)) + 0.01)
+    own = lambda ws: np.bincount([ids[w] for w in ws if w in ids], minlength=size) * space.idf
+    pieces = [own(t.split()[k : k + decontaminate.PIECE]) for t in texts for k in range(0, len(t.split()), decontaminate.PIECE)]
+    a = np.array([x / np.linalg.norm(x) for x in pieces + [own(t.split()) for _, t in items] if x.any()])
+    assert size <= decontaminate.DIMENSIONS  # so the space is the whole one, turned by the right singular vectors
+    got = space.rows[:-1] / space.idf[:, None]
+    values = np.linalg.eigvalsh(a.T @ a)[::-1]
+    assert np.allclose(got.T @ got, np.eye(size), atol=1e-4)
+    assert np.allclose(np.diag(got.T @ a.T @ a @ got), values, rtol=1e-3)
+
+
+def test_paraphrases_are_found_as_by_brute_force(spark):
+    """Items with a third of the words replaced, answer left: at least 0.9 of what a search without the space finds."""
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    rng, pool = np.random.default_rng(7), [w for r in docs.limit(300).collect() for w in decontaminate.words_of(r["text"])]
+    made, items = [], bench.collect()
+    for k in range(120):
+        item = items[k % len(items)]
+        ws, answer = decontaminate.words_of(item["text"]), len(decontaminate.answer_of(item["text"]))
+        new = [w if j >= len(ws) - answer or rng.random() < 0.7 else pool[rng.integers(len(pool))] for j, w in enumerate(ws)]
+        at = int(rng.integers(len(pool) - 200))
+        made.append((k, " ".join([*pool[at : at + 100], *new, *pool[at + 100 : at + 200]])))
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(frame, bench).collect()}
+    rows = sorted(((r["item_id"], r["text"]) for r in bench.collect()), key=repr)
+    sized = {i: (decontaminate.words_of(t), decontaminate.answer_of(t)) for i, t in rows}
+    brute = set()
+    for k, t in made:
+        words = decontaminate.words_of(t)
+        for i, (x, answer) in sized.items():
+            best = 0
+            for a, w in [(a, w) for w in decontaminate.WINDOWS for a in range(0, max(1, len(words) - w // 2), w // 2)]:
+                around = words[max(0, a - len(x)) : min(a + w, len(words)) + len(x)]
+                n = decontaminate.common_subsequence(decontaminate.masks_of(x), len(x), around)
+                if n > best and n >= decontaminate.PARAPHRASE * len(x) - 1e-9:
+                    told = decontaminate.common_subsequence(decontaminate.masks_of(answer), len(answer), around) >= decontaminate.ANSWER * len(answer)
+                    best = n if n >= decontaminate.SAME * len(x) or told else best
+            if best:
+                brute.add((k, i))
+    assert len(brute) > 80 and got <= brute and len(got) >= 0.9 * len(brute)
+
+
+def test_words_are_numbered_as_by_plain_python():
+    texts = ["Ab_c1 İstanbul ΣΑΣ ΣΑΣ, é\U0001f600x ٣٤ x", None, "", " ", "x", "straße STRASSE 漢字 ab", "y " * 70_000 + "x"]
+    words = sorted({w for t in texts for w in decontaminate.words_of(t)} - {"c1", "y"})
+    at, sizes = decontaminate.Numbering(words)(texts)
+    want = [[words.index(w) if w in words else -1 for w in decontaminate.words_of(t)] for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and at.tolist() == [n for x in want for n in x]
+
+
 def test_common_subsequence_equals_the_table():
     rng = np.random.default_rng(0)
     for _ in range(50):
