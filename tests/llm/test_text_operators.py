@@ -126,7 +126,7 @@ def test_toxicity_fit_shuffles_no_texts(spark, tmp_path):
         new = sum(n for f, n in used().items() if f not in before)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-    assert new < 0.2 * sum(map(len, texts))
+    assert new < 0.05 * sum(map(len, texts)), new
 
 
 @pytest.mark.parametrize(("of_docs", "of_labels"), [("long", "long"), ("int", "long"), ("long", "smallint"), ("string", "string"), ("string", "long")])
